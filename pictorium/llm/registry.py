@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pictorium.llm.capping import left_out
 from pictorium.llm.history import history_matches
+from pictorium.llm.leaks import leaks
 from pictorium.llm.mixing import mixture, mixture_shares
 from pictorium.runtime import blank_to_null, read_table
 
@@ -33,6 +34,14 @@ def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.groupBy(F.col("batch").alias("ingest_batch")).agg(F.count("*").alias("accepted"))
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
@@ -41,7 +50,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(p8_mixture(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_batches": p5_batches, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 ORACLES = {
     "p3_found": """
