@@ -8,6 +8,7 @@ from pictorium.llm.capping import left_out
 from pictorium.llm.history import history_matches
 from pictorium.llm.leaks import leaks
 from pictorium.llm.mixing import mixture, mixture_shares
+from pictorium.llm.neighbours import nearest, nearest_pairs, usable_vectors
 from pictorium.runtime import blank_to_null, read_table
 
 
@@ -19,6 +20,18 @@ def _results_by_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.join(artist, blank_to_null(F.col("artwork_id")) == F.col("_artwork")).select("result_id", "search_id", "artist", "score")
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "artwork_embeddings")
+    clip = usable_vectors(vectors, "artwork_id", "clip_vector", ["model_name_clip", "model_version_clip"], "date_computed")
+    dino = usable_vectors(vectors, "artwork_id", "dino_pooled", ["model_name_dino", "model_version_dino"], "date_computed")
+    return nearest(clip.unionByName(dino), k=5)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = nearest_pairs(p2_neighbours(spark, sf_dir))
+    return pairs.withColumnsRenamed({"record_a": "artwork_id_a", "record_b": "artwork_id_b"})
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left_out(_results_by_artist(spark, sf_dir), ["search_id", "artist"], score="score", record="result_id", cap=3)
 
@@ -50,7 +63,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(p8_mixture(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 ORACLES = {
     "p3_found": """
