@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pictorium.llm.capping import left_out
 from pictorium.llm.history import history_matches
 from pictorium.llm.leaks import leaks
-from pictorium.llm.mixing import mixture, mixture_shares
+from pictorium.llm.mixing import mixture, mixture_shares, source_name
 from pictorium.llm.neighbours import nearest, nearest_pairs, usable_vectors
+from pictorium.llm.readability import reading_levels
 from pictorium.runtime import blank_to_null, read_table
 
 
@@ -63,7 +64,23 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(p8_mixture(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return reading_levels(documents, read_table(spark, sf_dir, "reading_samples"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_levels(spark, sf_dir).where("language = 'en' and expert_share > 0.5").select("doc_id")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, mean grade and shares of the bands per source."""
+    levels = p9_levels(spark, sf_dir).withColumn("source", source_name(F.col("source")))
+    band = [F.round(F.avg((F.col("band") == b).cast("double")), 6).alias(f"{b}_share") for b in ("beginner", "general", "expert")]
+    return levels.where("band is not null").groupBy("source").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 4).alias("mean_grade"), *band)
+
+
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
 
 ORACLES = {
     "p3_found": """
