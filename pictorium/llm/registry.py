@@ -10,7 +10,8 @@ from pictorium.llm.leaks import leaks
 from pictorium.llm.mixing import mixture, mixture_shares, source_name
 from pictorium.llm.neighbours import nearest, nearest_pairs, usable_vectors
 from pictorium.llm.readability import reading_levels
-from pictorium.runtime import blank_to_null, read_table
+from pictorium.llm.safety import fitted, flagged, rates, scored
+from pictorium.runtime import blank_to_null, read_table, written
 
 
 def _results_by_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,42 @@ def _results_by_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.join(artist, blank_to_null(F.col("artwork_id")) == F.col("_artwork")).select("result_id", "search_id", "artist", "score")
 
 
+def _safety_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of documents (doc_id, source) and of candidates (candidate, source)."""
+    model = fitted(read_table(spark, sf_dir, "safety_samples"), read_table(spark, sf_dir, "reading_samples"))
+    documents = scored(read_table(spark, sf_dir, "documents"), model, ["text"], ["doc_id", "source"])
+    candidates = read_table(spark, sf_dir, "candidates").withColumn("candidate", blank_to_null(F.col("candidate_id")))
+    return documents, scored(candidates.where("candidate is not null"), model, ["post_text", "alt_text"], ["candidate", "source"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, candidates = _safety_scores(spark, sf_dir)
+    bad = written(candidates.where(flagged()).select("candidate").distinct(), "flagged-candidates")
+    works = read_table(spark, sf_dir, "artworks").where("is_sfw")
+    works = works.join(bad, blank_to_null(F.col("source_id")) == F.col("candidate"), "left_semi")
+    parts = [
+        documents.where(flagged() & F.col("doc_id").isNotNull()).select(F.lit("documents").alias("table_name"), F.col("doc_id").cast("string").alias("record_key")),
+        bad.select(F.lit("candidates").alias("table_name"), F.col("candidate").alias("record_key")),
+        works.select(F.lit("artworks").alias("table_name"), F.col("artwork_id").alias("record_key")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, candidates = _safety_scores(spark, sf_dir)
+    worst = [F.max(c).alias(c) for c in ("abuse", "hate", "sexual", "unsafe")]
+    per = candidates.groupBy("candidate").agg(*worst).select(F.lit("candidates").alias("table_name"), F.col("candidate").alias("record_key"), "abuse", "hate", "sexual", "unsafe")
+    return documents.select(F.lit("documents").alias("table_name"), F.col("doc_id").cast("string").alias("record_key"), "abuse", "hate", "sexual", "unsafe").unionByName(per)
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, candidates = _safety_scores(spark, sf_dir)
+    both = documents.select(F.lit("documents").alias("table_name"), source_name(F.col("source")).alias("source"), "unsafe").unionByName(
+        candidates.select(F.lit("candidates").alias("table_name"), source_name(F.col("source")).alias("source"), "unsafe")
+    )
+    return rates(both, ["table_name", "source"])
+
+
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "artwork_embeddings")
     clip = usable_vectors(vectors, "artwork_id", "clip_vector", ["model_name_clip", "model_version_clip"], "date_computed")
@@ -80,7 +117,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.where("band is not null").groupBy("source").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 4).alias("mean_grade"), *band)
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_rates": p1_rates, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
 
 ORACLES = {
     "p3_found": """
