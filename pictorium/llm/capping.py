@@ -76,5 +76,5 @@ def left_out(df: DataFrame, by: list[str], *, score: str, record: str, cap: int
 
 def capped(df: DataFrame, by: list[str], *, record: str, **options) -> DataFrame:
     """``df`` without the records that :func:`left_out` names."""
-    out = written(left_out(df, by, record=record, **options).withColumnRenamed(record, "_out"), "left-out")
-    return df.join(out, df[record] == out["_out"], "left_anti")
+    out = written(left_out(df, by, record=record, **options).select(record), "left-out")
+    return df.join(out, record, "left_anti")

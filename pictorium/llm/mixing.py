@@ -22,8 +22,10 @@ from pictorium.runtime import written
 
 TOKENIZERS = os.environ.get("PICTORIUM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: The published splitting pattern of this vocabulary.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+try:
+    from public_tokenizers import PATTERN
+except ImportError:  # the published splitting pattern of these vocabularies
+    PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Documents per key range; a range is summed in one task.
 PER_RANGE = 20_000
 #: A text is cut at blanks into pieces of about this size for the tokenizer.

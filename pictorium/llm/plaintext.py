@@ -19,7 +19,6 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
 _LINK = re.compile(r"!?\[([^\[\]]{0,300})\]\([^()\s]{0,300}\)")
 _BROKEN = re.compile(r"(\w)-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _QUOTE = re.compile("['‘’ʼ`´]")
-_EMPHASIS = re.compile(r"(?<!\w)[*_~]+(?=\S)|(?<=\S)[*_~]+(?!\w)")
 _TABLE = str.maketrans(LOOKALIKES)
 
 

@@ -70,6 +70,19 @@ def syllables(word: str) -> int:
     return max(1, count)
 
 
+_BLANKS = re.compile(r"[^\S\n]{3,}")
+
+
+def _tidy(text: str) -> str:
+    """No blanks at line ends, at most two in a row, at most one empty line; in linear time."""
+    out: list[str] = []
+    for line in text.splitlines():
+        line = _BLANKS.sub("  ", line.strip())
+        if line or (out and out[-1]):
+            out.append(line)
+    return "\n".join(out)
+
+
 def _cut(piece: str, level: int = 0) -> Iterator[str]:
     """A run-on at lines, then capitals, then joints, then by length; other pieces whole."""
     if piece.count(" ") <= (LONGEST if level > 1 else SUSPECT):
@@ -92,7 +105,7 @@ def _cut(piece: str, level: int = 0) -> Iterator[str]:
 
 def sentences(text: str) -> list[str]:
     out: list[str] = []
-    for piece in _SENTENCE.split(_NOISE.sub("", text)):
+    for piece in _SENTENCE.split(_NOISE.sub("", _tidy(text))):
         if piece and not piece.isspace():
             out += _cut(piece)
     return out
@@ -145,6 +158,8 @@ def _token(token: str) -> tuple[int, int, int, int, int, int]:
     words of two, as they do in the formulas that use word lists.
     """
     low = token.lower()
+    if len(token) > 40:
+        return 2, 6, 0, 1, 0, 1
     if _HOUSE.match(token):
         return 2, min(len(token), 4), 0, 0, 0, 0
     if not token.isalpha() and not (token[0].isalpha() and all(c.isalpha() or c in "'’-" for c in token)) or len(token) == 1 and low not in ("a", "i", "o") or len(token) > 1 and token.isupper():
@@ -288,7 +303,7 @@ def _kept_case(text: str) -> str:
 
 
 def reading_levels(docs: DataFrame, samples: DataFrame, *, text: str = "text", sample_text: str = "sample_text", band: str = "band") -> DataFrame:
-    """``docs`` without its text, with the columns of OUT.
+    """``docs`` without its text, with the columns of OUT in place of any of the same name.
 
     ``expert_share`` and ``general_share`` are shares of the document's characters.
     Defined results: NULL and blank texts get NULLs and 0 sentences; equal shares
@@ -297,9 +312,10 @@ def reading_levels(docs: DataFrame, samples: DataFrame, *, text: str = "text", s
     """
     rated = samples.where(F.col(sample_text).isNotNull() & F.col(band).isin(*BANDS)).select(sample_text, band).orderBy(F.xxhash64(sample_text), sample_text, band).limit(MOST_SAMPLES).collect()
     model = docs.sparkSession.sparkContext.broadcast(BandModel.fit([(r[0], r[1]) for r in rated]))
-    kept = [c for c in docs.columns if c != text]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text) + OUT
     names = [c.split()[0] for c in OUT.split(", ")]
+    kept = [c for c in docs.columns if c != text and c.lower() not in names]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept) + OUT
+    docs = docs.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
