@@ -77,3 +77,14 @@ def blank_to_null(column):
 def slots(spark: SparkSession) -> int:
     """Tasks that run at once; a floor for the number of independent groups."""
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as tasks run at once.
+
+    For the Python kernels: a small table that lies in a few files would keep
+    most cores idle.  A table with enough partitions is left as it is, so large
+    inputs are never shuffled for this.
+    """
+    wanted = slots(df.sparkSession)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
