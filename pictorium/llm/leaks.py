@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from pictorium.llm.plaintext import words
+from pictorium.runtime import spread
 
 WINDOW = 3
 BLOCK = 5
@@ -260,4 +261,4 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "words_found", "item_words"])
 
     asked = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("bigint").alias("key"), F.col(text).alias("body"))
-    return asked.mapInPandas(scan, "doc_id bigint, item_id bigint, words_found int, item_words int")
+    return spread(asked).mapInPandas(scan, "doc_id bigint, item_id bigint, words_found int, item_words int")

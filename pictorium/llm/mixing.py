@@ -18,7 +18,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pictorium.runtime import written
+from pictorium.runtime import spread, written
 
 TOKENIZERS = os.environ.get("PICTORIUM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -64,7 +64,7 @@ def token_counts(df: DataFrame, text: str = "text", path: str | None = None) ->
         for frame in batches:
             yield frame[kept].assign(tokens=[count_tokens(t, path) for t in frame[text]])
 
-    return df.mapInPandas(count, schema)
+    return spread(df).mapInPandas(count, schema)
 
 
 def source_name(column: Column) -> Column:

@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from pictorium.runtime import spread
+
 BANDS = ("beginner", "general", "expert")
 #: A piece of more than SUSPECT words is cut at lines and capitals; one of more than LONGEST is a run-on
 #: and cut at joints, at last into stretches of STRETCH words.
@@ -322,7 +324,7 @@ def reading_levels(docs: DataFrame, samples: DataFrame, *, text: str = "text", s
             rated = pd.DataFrame(rate(frame[text].tolist(), model.value), columns=names, index=frame.index)
             yield pd.concat([frame[kept], rated], axis=1)
 
-    return docs.mapInPandas(run, schema)
+    return spread(docs).mapInPandas(run, schema)
 
 
 __all__ = ["BandModel", "rate", "reading_levels", "sentences", "syllables"]
