@@ -37,18 +37,6 @@ def clamp(value: Column, low: float, high: float, missing: float = 0.0) -> Colum
     return F.when(value.isNull(), None).when(finite, F.least(F.greatest(value, F.lit(low)), F.lit(high))).otherwise(F.lit(missing))
 
 
-def nearest_rank_percentile(value: Column, q: float) -> Column:
-    """Aggregate: the element at index round(q * (n - 1)) of the sorted values.
-
-    Halves round away from zero.  It holds one group's values in one task; for
-    groups of unbounded size use ``percentile_disc``, whose buffer holds counts
-    of distinct values.
-    """
-    ordered = F.sort_array(F.collect_list(value))
-    at = F.round(F.lit(q) * (F.count(value) - 1)).cast("int")
-    return F.try_element_at(ordered, at + 1)
-
-
 def softmax(values: Column) -> Column:
     """Stable softmax of an array of doubles."""
     top = F.array_max(values)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pictorium.functions import geometry, keys, text, times
-from pictorium.operators import audit, latest, manifest, moderation, near_duplicates, relational, sampling
+from pictorium.functions import geometry, keys, text, times, web
+from pictorium.operators import audit, latest, manifest, moderation, near_duplicates, relational, sampling, snapshots
 from pictorium.plans.register import Register
 from pictorium.runtime import blank_to_null, read_table
 
@@ -61,13 +61,12 @@ def decision_summary_approximate(spark, d):
   round(quantile_cont(value, 0.95), 9)::DOUBLE AS p95_linear FROM events GROUP BY 1"""
 )
 def percentile_flavours(spark, d):
-    from pictorium.functions.numeric import nearest_rank_percentile
-
-    return read_table(spark, d, "events").groupBy("event_type").agg(
-        nearest_rank_percentile(F.col("value"), 0.95).alias("p95_nearest"),
-        F.expr("percentile_disc(0.95) within group (order by value)").alias("p95_disc"),
-        F.round(F.percentile("value", 0.95), 9).alias("p95_linear"),
+    events = read_table(spark, d, "events")
+    near = snapshots.nearest_rank(events, ["event_type"], "value", 0.95, "p95_nearest")
+    rest = events.groupBy("event_type").agg(
+        F.expr("percentile_disc(0.95) within group (order by value)").alias("p95_disc"), F.round(F.percentile("value", 0.95), 9).alias("p95_linear")
     )
+    return near.join(rest, "event_type")
 
 
 # ---------------------------------------------------------------- manifest
@@ -492,6 +491,70 @@ def sample_sessions(spark, d):
     return sampling.sessions(works, "artist", "artwork_id", 3, seed=7)
 
 
+@register(
+    """WITH h AS (SELECT delivery_id, lower(regexp_extract(fullsize_url, '^(https?)://([^/:?#]+)', 2)) AS host, fullsize_url LIKE 'https://%' AS secure FROM candidates)
+SELECT nullif(host, '') AS host, coalesce(secure AND (host = 'artfeed.example' OR host LIKE '%.artfeed.example'), FALSE) AS allowed, count(*)::BIGINT AS n FROM h GROUP BY 1, 2"""
+)
+def url_hosts(spark, d):
+    c = read_table(spark, d, "candidates")
+    return c.groupBy(web.host(F.col("fullsize_url")).alias("host"), web.allowed(F.col("fullsize_url"), ("artfeed.example",)).alias("allowed")).agg(F.count("*").alias("n"))
+
+
+@register(
+    """SELECT delivery_id, CASE WHEN post_uri LIKE 'at://%' AND len(string_split(substr(post_uri, 6), '/')) >= 3 THEN 'https://posts.example/profile/' || replace(string_split(substr(post_uri, 6), '/')[1], ':', '%3A') || '/post/' || string_split(substr(post_uri, 6), '/')[-1] END AS link FROM candidates"""
+)
+def post_links(spark, d):
+    return read_table(spark, d, "candidates").select("delivery_id", web.post_link(F.col("post_uri")).alias("link"))
+
+
+@register("SELECT artwork_id, CASE WHEN raw_path LIKE 'raw/%' THEN substr(raw_path, 5) ELSE raw_path END AS path FROM artworks")
+def relative_paths(spark, d):
+    return read_table(spark, d, "artworks").select("artwork_id", web.relative_path(F.col("raw_path"), "raw").alias("path"))
+
+
+@register(
+    """SELECT 'model_version_clip' AS field, model_version_clip AS value, count(*)::BIGINT AS n FROM artwork_embeddings GROUP BY 2
+UNION ALL SELECT 'model_version_dino', model_version_dino, count(*)::BIGINT FROM artwork_embeddings GROUP BY 2 UNION ALL SELECT 'clip_dim', clip_dim::VARCHAR, count(*)::BIGINT FROM artwork_embeddings GROUP BY 2"""
+)
+def version_cohorts(spark, d):
+    return snapshots.cohorts(read_table(spark, d, "artwork_embeddings"), ["model_version_clip", "model_version_dino", "clip_dim"])
+
+
+@register(
+    """WITH r AS (SELECT * FROM candidates WHERE contains(lower(concat_ws(' ', post_text, alt_text)), 'fox'))
+SELECT 'source' AS facet, source AS value, count(*)::BIGINT AS n FROM r GROUP BY 2 UNION ALL SELECT 'mime_type', mime_type, count(*)::BIGINT FROM r GROUP BY 2 UNION ALL SELECT 'is_repost', is_repost::VARCHAR, count(*)::BIGINT FROM r GROUP BY 2"""
+)
+def facet_counts(spark, d):
+    return snapshots.facet_counts(read_table(spark, d, "candidates"), ["source", "mime_type", "is_repost"], "Fox", ["post_text", "alt_text"])
+
+
+@register(
+    """WITH d AS (SELECT lower(trim(candidate_id)) AS candidate, received_at, delivery_id, is_repost FROM candidates WHERE trim(coalesce(candidate_id, '')) <> ''),
+l AS (SELECT candidate, min(delivery_id) AS label, CASE WHEN min(delivery_id) % 2 = 0 THEN min(received_at) END AS snap FROM d GROUP BY 1),
+n AS (SELECT l.label, d.delivery_id, row_number() OVER (PARTITION BY l.label ORDER BY d.delivery_id DESC) AS r FROM l JOIN d ON l.candidate = d.candidate AND l.snap = d.received_at),
+f AS (SELECT l.label, d.delivery_id, row_number() OVER (PARTITION BY l.label ORDER BY d.received_at DESC NULLS LAST, d.delivery_id DESC) AS r FROM l JOIN d ON l.candidate = d.candidate WHERE l.snap IS NULL)
+SELECT label, delivery_id FROM n WHERE r = 1 UNION ALL SELECT label, delivery_id FROM f WHERE r = 1"""
+)
+def snapshot_labels(spark, d):
+    """Half of the labels name the delivery they were made about by its time."""
+    rows = read_table(spark, d, "candidates").select(blank_to_null(F.col("candidate_id")).alias("candidate"), "received_at", "delivery_id").where("candidate is not null")
+    labels = rows.groupBy("candidate").agg(F.min("delivery_id").alias("label"), F.min("received_at").alias("snap"))
+    labels = labels.withColumn("snap", F.when(F.col("label") % 2 == 0, F.col("snap")))
+    return snapshots.snapshot_join(labels, rows, "candidate", "label", "snap", "received_at", "delivery_id").select("label", "delivery_id")
+
+
+@register(
+    """WITH g AS (SELECT declared_width AS w, declared_height AS h, received_at, delivery_id, candidate_id FROM candidates QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY received_at DESC NULLS LAST, delivery_id DESC) = 1)
+SELECT delivery_id, to_json({'candidate_id': candidate_id, 'height': h, 'width': w})::VARCHAR AS payload FROM g ORDER BY received_at DESC, delivery_id DESC LIMIT 100"""
+)
+def gallery_payload(spark, d):
+    """The hundred latest candidates as the JSON that a page would embed."""
+    c = read_table(spark, d, "candidates")
+    last = latest.latest_per_key(c, ["candidate_id"], [F.col("received_at").desc_nulls_last(), F.col("delivery_id").desc()])
+    body = F.to_json(F.struct("candidate_id", F.col("declared_height").alias("height"), F.col("declared_width").alias("width")), {"ignoreNullFields": "false"})
+    return last.orderBy(F.col("received_at").desc(), F.col("delivery_id").desc()).limit(100).select("delivery_id", text.html_safe_json(body).alias("payload"))
+
+
 # ---------------------------------------------------------------- extras that Spark brings along
 
 @register(

@@ -46,8 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder; results not yet read are lost."""
+    while _made:
+        remove_path(spark, _made.pop())
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -91,3 +91,32 @@ def test_vectors(spark):
     assert gram_schmidt([[1, 0], [1, 1]]) == [[1, 0], [0, 1]]
     with pytest.raises(ValueError):
         gram_schmidt([[1, 0], [2, 0]])
+
+
+def test_addresses(spark):
+    from pictorium.functions import web
+
+    for url, want in [("https://img.a.example/x", True), ("https://a.example", True), ("http://a.example/x", False), ("https://bada.example/", False), ("https://10.0.0.1/", False), ("not one", False), (None, False)]:
+        assert one(spark, web.allowed(F.col("u"), ("a.example",)), "u string", (url,)) is want
+    assert one(spark, web.post_link(F.lit("at://did:x/feed.post/k y"))) == "https://posts.example/profile/did%3Ax/post/k+y"
+    assert one(spark, web.post_link(F.lit("https://x"))) is None
+    assert one(spark, web.relative_path(F.lit("/data/raw/a/b.jpg"), "/data/raw/")) == "a/b.jpg"
+
+
+def test_error_codes(spark):
+    from pictorium.operators.snapshots import nearest_rank, reason_codes
+
+    code = reason_codes(F.col("e"), {"TimeoutError": "error.timeout"})
+    assert one(spark, code, "e string", ("TimeoutError: late",)) == "error.timeout"
+    assert one(spark, code, "e string", ("Other",)) == "error.unknown" and one(spark, code, "e string", (None,)) is None
+    df = spark.createDataFrame([("a", v) for v in range(1, 11)] + [("b", None), ("c", 5)], "g string, v int")
+    assert {r.g: r.p for r in nearest_rank(df, ["g"], "v", 0.5, "p").collect()} == {"a": 6.0, "c": 5.0}
+
+
+def test_snapshots(spark):
+    from pictorium.operators.snapshots import snapshot_join
+
+    labels = spark.createDataFrame([("one", 1, 10), ("two", 2, None), ("three", 3, 99)], "k string, label int, snap int")
+    decisions = spark.createDataFrame([("one", 10, 1, "review"), ("one", 11, 2, "reject"), ("two", 5, 3, "old"), ("two", 6, 4, "accept"), ("three", 1, 5, "x")], "k string, at int, n int, d string")
+    got = {r.label: r.d for r in snapshot_join(labels, decisions, "k", "label", "snap", "at", "n").collect()}
+    assert got == {1: "review", 2: "accept"}
