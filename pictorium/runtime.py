@@ -99,3 +99,23 @@ def spread(df: DataFrame) -> DataFrame:
     """
     wanted = slots(df.sparkSession)
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, unless they find it by the driver's PYTHONPATH or working directory."""
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    root = str(package.parent)
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.realpath(os.getcwd()) == root:
+        return
+    context = spark.sparkContext
+    if getattr(context, "_pictorium_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="pictorium-"), "pictorium.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in package.rglob("*.py"):
+            out.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(archive)
+    context._pictorium_shipped = True
