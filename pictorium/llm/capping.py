@@ -34,9 +34,8 @@ def quality_histogram(df: DataFrame, by: list[str]) -> DataFrame:
 def cutoffs(histogram: DataFrame, by: list[str], cap: Column) -> DataFrame:
     """(by..., cut, need): the bin that the cap falls into and how many of it fit."""
     down = Window.partitionBy(*by).orderBy(F.col("bin").desc())
-    total = F.sum("n").over(Window.partitionBy(*by))
     above = F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1))
-    walked = histogram.withColumn("total", total).withColumn("above", F.coalesce(above, F.lit(0)))
+    walked = histogram.withColumn("above", F.coalesce(above, F.lit(0)))
     walked = walked.withColumn("cap", cap.cast("bigint"))
     last = (F.col("above") < F.col("cap")) & (F.col("above") + F.col("n") >= F.col("cap"))
     none = (F.col("cap") <= 0) & (F.col("above") == 0)
