@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-CANONICAL, MOST_RATIO = 448, 2.0
+CANONICAL, MOST_RATIO = 448, 2.5
 
 
 def transform_plan(width: Column, height: Column, size: int = CANONICAL, most_ratio: float = MOST_RATIO) -> Column:

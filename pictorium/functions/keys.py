@@ -15,12 +15,16 @@ def candidate_key(uri: Column, index: Column) -> Column:
 
 
 def artist_key(*names: Column) -> Column:
-    """Stable id of the first name that is present."""
-    return F.concat(F.lit("bsky_"), F.substring(F.sha2(F.coalesce(*names), 256), 1, 24))
+    """Stable id of the first name that isn't missing or empty."""
+    return F.concat(F.lit("bsky_"), F.substring(F.sha2(F.coalesce(*[F.nullif(n, F.lit("")) for n in names]), 256), 1, 24))
 
 
-def routed_filename(identifier: Column, version: Column) -> Column:
-    return F.concat(identifier, F.when(version.isNotNull(), F.concat(F.lit("_"), F.substring(F.sha2(version, 256), 1, 12))).otherwise(F.lit("")))
+def routed_filename(identifier: Column, version: Column, suffix: str = ".jpg") -> Column:
+    """The safe identifier, with twelve digits of the version's hash where there is a version."""
+    from pictorium.functions.text import safe_filename
+
+    part = F.when(F.coalesce(version, F.lit("")) != "", F.concat(F.lit("-"), F.substring(F.sha2(version, 256), 1, 12))).otherwise(F.lit(""))
+    return F.concat(safe_filename(identifier), part, F.lit(suffix))
 
 
 def content_path(namespace: str, digest: Column, suffix: str = "") -> Column:

@@ -20,7 +20,7 @@ NEGATIVE_TERMS = (
 ROUTING_TERMS = (
     "commissions open", "commission prices", "price sheet", "terms of service", "tos", "adopt auction", "bidding", "ych", "merch", "print shop", "sticker", "keychain",
 )
-EXCLUDED_TERMS = ("18+", "explicit", "lewd", "nsfw", "porn")
+EXCLUDED_TERMS = ("18+", "explicit", "lewd", "nsfw", "porn", "yiff", "\U0001f51e")
 MAX_TEXT = 4_000
 
 
@@ -86,7 +86,12 @@ def html_safe_json(column: Column) -> Column:
     return F.replace(column, F.lit("</"), F.lit("<\\/"))
 
 
-def safe_component(column: Column) -> Column:
-    """A file name: kept if harmless, else runs of other characters as _, dots and _ off the ends; nothing left: a hash."""
+def safe_filename(column: Column) -> Column:
+    """Kept if it is a harmless name of at most 128 characters, else its hash."""
+    return F.when(column.rlike(r"^[A-Za-z0-9._-]{1,128}$"), column).otherwise(F.sha2(column, 256))
+
+
+def safe_component(column: Column, otherwise: str = "review") -> Column:
+    """Runs of other characters as _, dots and _ off the ends; ``otherwise`` where nothing is left."""
     cleaned = F.regexp_replace(F.regexp_replace(column, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
-    return F.when(column.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"), column).when(cleaned == "", F.sha2(column, 256)).otherwise(cleaned)
+    return F.when(cleaned == "", otherwise).otherwise(cleaned)

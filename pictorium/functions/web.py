@@ -20,11 +20,16 @@ def allowed(url: Column, suffixes: tuple[str, ...]) -> Column:
     return F.coalesce((F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == "https") & named & known, F.lit(False))
 
 
-def post_link(uri: Column, site: str = "https://posts.example") -> Column:
-    """``at://author/collection/key`` as a link; anything else has none."""
+def _quoted(text: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("%3A"), F.lit(":"))
+
+
+def post_link(uri: Column, actor: Column | None = None, site: str = "https://posts.example") -> Column:
+    """``at://author/collection/key`` as a link, under the actor's name if given; anything else has none."""
     parts = F.split(F.regexp_replace(uri, "^at://", ""), "/")
     good = uri.startswith("at://") & (F.size(parts) >= 3)
-    return F.when(good, F.concat_ws("/", F.lit(site), F.lit("profile"), F.url_encode(parts[0]), F.lit("post"), F.url_encode(F.element_at(parts, -1))))
+    name = F.coalesce(actor, parts[0]) if actor is not None else parts[0]
+    return F.when(good, F.concat_ws("/", F.lit(site), F.lit("profile"), _quoted(name), F.lit("post"), _quoted(F.element_at(parts, 3))))
 
 
 def relative_path(path: Column, root: str) -> Column:

@@ -15,9 +15,9 @@ FEED_SCHEMA = (
     f"record:struct<text:string,createdAt:string,langs:array<string>,labels:struct<values:{_LABELS}>>,"
     f"embed:struct<`$type`:string,images:{_IMAGES},media:struct<`$type`:string,images:{_IMAGES}>,record:struct<author:struct<did:string>>>>"
 )
-EXCLUDED_LABELS = ("porn", "sexual", "nudity", "graphic-media", "gore", "hide")
-# The image rules' limits.
-LEAST_SIDE, LEAST_AREA, MOST_ASPECT = 256, 90_000, 4.0
+# Labels that leave a post out, and the image rules' limits.
+EXCLUDED_LABELS = ("!hide", "!warn", "!no-unauthenticated", "porn", "sexual", "sexual-figurative", "nudity", "graphic-media", "gore")
+LEAST_SIDE, LEAST_AREA, MOST_ASPECT = 256, 100_000, 8.0
 
 
 def active_labels(labels: Column) -> Column:

@@ -400,8 +400,8 @@ def text_signal_scores_nfkc(spark, d):
 
 @register(
     f"""{_TEXT}, l AS (SELECT delivery_id, list_concat(content_labels, author_labels) AS ls FROM candidates),
-r AS (SELECT x.delivery_id, len(list_filter(list_distinct(list_transform(ls, lambda v: lower(trim(v)))), lambda v: v IN ('porn','sexual','nudity','graphic-media','gore','hide'))) AS by_label,
-  (contains(t, '18+')::INT + {_sql_matches(('explicit', 'lewd', 'nsfw', 'porn'))}) AS by_text FROM x JOIN l USING (delivery_id))
+r AS (SELECT x.delivery_id, len(list_filter(list_distinct(list_transform(ls, lambda v: lower(trim(v)))), lambda v: v IN ('!hide','!warn','!no-unauthenticated','porn','sexual','sexual-figurative','nudity','graphic-media','gore'))) AS by_label,
+  (contains(t, '18+')::INT + contains(t, '🔞')::INT + {_sql_matches(('explicit', 'lewd', 'nsfw', 'porn', 'yiff'))}) AS by_text FROM x JOIN l USING (delivery_id))
 SELECT delivery_id, (by_label + by_text)::INTEGER AS reasons FROM r WHERE by_label + by_text > 0"""
 )
 def moderation_filter(spark, d):
@@ -413,7 +413,7 @@ def moderation_filter(spark, d):
 
 @register(
     """WITH c AS (SELECT declared_width AS w, declared_height AS h, is_repost AS r, is_quote_post AS q FROM candidates)
-SELECT CASE WHEN coalesce(w < 256 OR h < 256, FALSE) OR coalesce(w * h < 90000, FALSE) THEN 'force_reject' WHEN coalesce(greatest(w / h, h / w) > 4.0, FALSE) OR coalesce(r, FALSE) OR coalesce(q, FALSE) THEN 'force_review' ELSE 'continue' END AS disposition, count(*)::BIGINT AS n FROM c GROUP BY 1"""
+SELECT CASE WHEN coalesce(w < 256 OR h < 256, FALSE) OR coalesce(w * h < 100000, FALSE) THEN 'force_reject' WHEN coalesce(greatest(w / h, h / w) > 8.0, FALSE) OR coalesce(r, FALSE) OR coalesce(q, FALSE) THEN 'force_review' ELSE 'continue' END AS disposition, count(*)::BIGINT AS n FROM c GROUP BY 1"""
 )
 def rule_dispositions(spark, d):
     hits = moderation.rule_hits(F.col("declared_width"), F.col("declared_height"), F.col("is_repost"), F.col("is_quote_post"))
@@ -421,7 +421,7 @@ def rule_dispositions(spark, d):
 
 
 @register(
-    """WITH c AS (SELECT author_did, len(list_intersect(list_distinct(list_transform(list_concat(content_labels, author_labels), lambda v: lower(trim(v)))), ['porn','sexual','nudity','graphic-media','gore','hide'])) > 0 AS bad,
+    """WITH c AS (SELECT author_did, len(list_intersect(list_distinct(list_transform(list_concat(content_labels, author_labels), lambda v: lower(trim(v)))), ['!hide','!warn','!no-unauthenticated','porn','sexual','sexual-figurative','nudity','graphic-media','gore'])) > 0 AS bad,
   regexp_extract_all(lower(post_text), '[a-z]+') AS ws FROM candidates WHERE author_did IS NOT NULL)
 SELECT author_did, count(*)::BIGINT AS image_posts, count_if(bad)::BIGINT AS excluded_posts, count_if(NOT bad)::BIGINT AS allowed_posts,
   count_if(list_has_any(ws, ['sketch','study','drawing']))::BIGINT AS practice_posts, count_if(list_has_any(ws, ['commission','commissions','prints']))::BIGINT AS offer_posts, round(count_if(bad) / count(*), 9) AS excluded_fraction FROM c GROUP BY 1"""
@@ -436,7 +436,7 @@ def account_audit(spark, d):
 
 @register(
     """WITH w AS (SELECT artwork_id, orig_width AS w, orig_height AS h FROM artworks WHERE orig_width > 0 AND orig_height > 0),
-c AS (SELECT *, CASE WHEN greatest(w, h) / least(w, h) > 2.0 THEN round_even(least(w, h) * 2.0, 0)::BIGINT ELSE greatest(w, h) END AS keep FROM w),
+c AS (SELECT *, CASE WHEN greatest(w, h) / least(w, h) > 2.5 THEN round_even(least(w, h) * 2.5, 0)::BIGINT ELSE greatest(w, h) END AS keep FROM w),
 x AS (SELECT *, greatest(w, h) - keep AS excess FROM c),
 y AS (SELECT *, CASE WHEN w > h THEN excess // 2 ELSE 0 END AS crop_left, CASE WHEN w > h THEN excess - excess // 2 ELSE 0 END AS crop_right, CASE WHEN w > h THEN 0 ELSE excess // 2 END AS crop_top, CASE WHEN w > h THEN 0 ELSE excess - excess // 2 END AS crop_bottom FROM x),
 s AS (SELECT *, 448.0::DOUBLE / greatest(w - crop_left - crop_right, h - crop_top - crop_bottom) AS scale FROM y),
@@ -450,7 +450,7 @@ def transform_geometry(spark, d):
 
 
 @register(
-    """SELECT delivery_id, sha256(concat_ws('|', post_uri, image_index::VARCHAR)) AS candidate_key, 'bsky_' || substr(sha256(coalesce(author_did, author_handle, candidate_id)), 1, 24) AS artist_key,
+    """SELECT delivery_id, sha256(concat_ws('|', post_uri, image_index::VARCHAR)) AS candidate_key, 'bsky_' || substr(sha256(coalesce(nullif(author_did, ''), nullif(author_handle, ''), candidate_id)), 1, 24) AS artist_key,
   'objects/sha256/' || substr(sha256(coalesce(fullsize_url, '')), 1, 2) || '/' || substr(sha256(coalesce(fullsize_url, '')), 3, 2) || '/' || sha256(coalesce(fullsize_url, '')) || '.jpg' AS object_path FROM candidates"""
 )
 def record_keys(spark, d):
@@ -501,10 +501,10 @@ def url_hosts(spark, d):
 
 
 @register(
-    """SELECT delivery_id, CASE WHEN post_uri LIKE 'at://%' AND len(string_split(substr(post_uri, 6), '/')) >= 3 THEN 'https://posts.example/profile/' || replace(string_split(substr(post_uri, 6), '/')[1], ':', '%3A') || '/post/' || string_split(substr(post_uri, 6), '/')[-1] END AS link FROM candidates"""
+    """SELECT delivery_id, CASE WHEN post_uri LIKE 'at://%' AND len(string_split(substr(post_uri, 6), '/')) >= 3 THEN 'https://posts.example/profile/' || coalesce(author_handle, string_split(substr(post_uri, 6), '/')[1]) || '/post/' || string_split(substr(post_uri, 6), '/')[3] END AS link FROM candidates"""
 )
 def post_links(spark, d):
-    return read_table(spark, d, "candidates").select("delivery_id", web.post_link(F.col("post_uri")).alias("link"))
+    return read_table(spark, d, "candidates").select("delivery_id", web.post_link(F.col("post_uri"), F.col("author_handle")).alias("link"))
 
 
 @register("SELECT artwork_id, CASE WHEN raw_path LIKE 'raw/%' THEN substr(raw_path, 5) ELSE raw_path END AS path FROM artworks")

@@ -42,15 +42,15 @@ def test_softmax_family(spark):
     assert one(spark, numeric.sigmoid(F.lit(-800.0))) == 0.0 and one(spark, numeric.sigmoid(F.lit(0.0))) == 0.5
 
 
-@pytest.mark.parametrize("width,height,want", [(800, 400, (0, 0, 0.56, 448, 224, 0, 112, 112)), (400, 1200, (0, 200, 0.56, 224, 448, 112, 0, 0)), (100, 100, (0, 0, 4.48, 448, 448, 0, 0, 0))])
+@pytest.mark.parametrize("width,height,want", [(800, 400, (0, 0, 0.56, 448, 224, 0, 112, 112)), (400, 1200, (0, 100, 0.448, 179, 448, 134, 0, 0)), (100, 100, (0, 0, 4.48, 448, 448, 0, 0, 0))])
 def test_geometry(spark, width, height, want):
     p = one(spark, geometry.transform_plan(F.col("w"), F.col("h")), "w int, h int", (width, height))
     assert (p.crop_left, p.crop_top, p.scale_factor, p.resized_width, p.resized_height, p.pad_left, p.pad_top, p.pad_bottom) == want
 
 
 def test_geometry_with_other_ratio(spark):
-    p = one(spark, geometry.transform_plan(F.col("w"), F.col("h"), 448, 2.5), "w int, h int", (400, 1200))
-    assert (p.crop_top, p.crop_bottom, p.resized_width, p.resized_height, p.pad_left, p.pad_right) == (100, 100, 179, 448, 134, 135)
+    p = one(spark, geometry.transform_plan(F.col("w"), F.col("h"), 448, 2.0), "w int, h int", (400, 1200))
+    assert (p.crop_top, p.crop_bottom, p.resized_width, p.resized_height, p.pad_left, p.pad_right) == (200, 200, 224, 448, 112, 112)
     assert one(spark, geometry.transform_plan(F.col("w"), F.col("h")), "w int, h int", (0, 5)) is None
 
 
@@ -69,7 +69,9 @@ def test_keys(spark):
     assert one(spark, keys.stable_json_hash(F.col("j")), "j string", ("{",)) is None
     assert one(spark, keys.content_path("n", F.lit("xyz"))) is None
     assert one(spark, keys.hamming(keys.hash_bits(F.lit("f")), keys.hash_bits(F.lit("8000000000000000")))) == 5
-    assert one(spark, text.safe_component(F.lit("../a b?.png"))) == "a_b_.png"
+    assert one(spark, text.safe_component(F.lit("../a b?.png"))) == "a_b_.png" and one(spark, text.safe_component(F.lit("._"))) == "review"
+    assert one(spark, keys.routed_filename(F.lit("id-1"), F.lit(None).cast("string"))) == "id-1.jpg"
+    assert one(spark, F.length(keys.routed_filename(F.lit("id/1"), F.lit("v")))) == 64 + 13 + 4
     assert one(spark, text.spreadsheet_safe(F.lit("=1+1"))) == "'=1+1"
 
 
@@ -98,7 +100,7 @@ def test_addresses(spark):
 
     for url, want in [("https://img.a.example/x", True), ("https://a.example", True), ("http://a.example/x", False), ("https://bada.example/", False), ("https://10.0.0.1/", False), ("not one", False), (None, False)]:
         assert one(spark, web.allowed(F.col("u"), ("a.example",)), "u string", (url,)) is want
-    assert one(spark, web.post_link(F.lit("at://did:x/feed.post/k y"))) == "https://posts.example/profile/did%3Ax/post/k+y"
+    assert one(spark, web.post_link(F.lit("at://did:x/feed.post/k y"))) == "https://posts.example/profile/did:x/post/k%20y"
     assert one(spark, web.post_link(F.lit("https://x"))) is None
     assert one(spark, web.relative_path(F.lit("/data/raw/a/b.jpg"), "/data/raw/")) == "a/b.jpg"
 
