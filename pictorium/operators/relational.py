@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from pictorium.runtime import written
 
 
 class ContractError(ValueError):
@@ -85,3 +87,17 @@ def first_match(df: DataFrame, ladder: list[tuple[str, Column]], otherwise: str,
 def unpivot_counts(wide: DataFrame, name: str = "metric", value: str = "value") -> DataFrame:
     """One row per column of a single-row table of counts."""
     return wide.select(*[F.col(c).cast("bigint").alias(c) for c in wide.columns]).unpivot([], wide.columns, name, value)
+
+
+def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with ``name``, each row's place in the whole table by ``order``, which should end with a unique column.
+
+    Rows are cut into ranges of ``order``, written and numbered range by range;
+    only the ranges' sizes, one row each, are ever added up in one task.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, inside).join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_before") + F.col(name)).cast("int")).drop("_range", "_before")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pictorium.functions import vectors
 from pictorium.functions.numeric import ratio
-from pictorium.operators import evaluation, inference, latest, vector_search
+from pictorium.operators import evaluation, inference, latest, relational, vector_search
 from pictorium.plans.register import Register
 from pictorium.runtime import blank_to_null, read_table
 
@@ -372,12 +372,11 @@ def policy_projection(spark, d):
     _JUDGED + "SELECT result_id, round(least(abs(score - 0.8), abs(score - 0.5)), 9) AS distance, row_number() OVER (ORDER BY round(least(abs(score - 0.8), abs(score - 0.5)), 9), result_id)::INTEGER AS place FROM j WHERE score IS NOT NULL QUALIFY place <= 50"
 )
 def review_priority(spark, d):
-    """The fifty results nearest to a decision boundary."""
+    """Every scored result, those nearest to a decision boundary first."""
     from pictorium.functions.numeric import boundary_distance
 
     rows = _judged(spark, d).where("score is not null").select("result_id", F.round(boundary_distance(F.col("score"), 0.8, 0.5), 9).alias("distance"))
-    top = rows.orderBy("distance", "result_id").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("distance", "result_id")))
+    return relational.placed(rows, ["distance", "result_id"])
 
 
 @register("SELECT retrieval_mode, count(*)::BIGINT AS results, round(avg(CASE WHEN isnan(score) THEN NULL ELSE score END), 9)::DOUBLE AS mean_score, round(count_if(is_sfw IS NULL) / count(*), 9)::DOUBLE AS unknown_rate FROM search_results GROUP BY 1")
