@@ -548,11 +548,11 @@ def snapshot_labels(spark, d):
 SELECT delivery_id, to_json({'candidate_id': candidate_id, 'height': h, 'width': w})::VARCHAR AS payload FROM g ORDER BY received_at DESC, delivery_id DESC LIMIT 100"""
 )
 def gallery_payload(spark, d):
-    """The hundred latest candidates as the JSON that a page would embed."""
+    """Every candidate's latest row as the JSON that a page would embed; a page orders them where it is written."""
     c = read_table(spark, d, "candidates")
     last = latest.latest_per_key(c, ["candidate_id"], [F.col("received_at").desc_nulls_last(), F.col("delivery_id").desc()])
     body = F.to_json(F.struct("candidate_id", F.col("declared_height").alias("height"), F.col("declared_width").alias("width")), {"ignoreNullFields": "false"})
-    return last.orderBy(F.col("received_at").desc(), F.col("delivery_id").desc()).limit(100).select("delivery_id", text.html_safe_json(body).alias("payload"))
+    return last.select("delivery_id", text.html_safe_json(body).alias("payload"))
 
 
 # ---------------------------------------------------------------- extras that Spark brings along

@@ -27,3 +27,10 @@ def test_review_queue_is_whole(spark):
     got = entry.queries()["review_priority"](spark, DATA).orderBy("place").collect()
     assert scored > 50 and [r.place for r in got] == list(range(1, scored + 1))
     assert [(r.distance, r.result_id) for r in got] == sorted((r.distance, r.result_id) for r in got)
+
+
+@tables
+def test_every_candidate_has_a_payload(spark):
+    candidates = spark.read.parquet(f"{DATA}/candidates.parquet").select("candidate_id").distinct().count()
+    got = entry.queries()["gallery_payload"](spark, DATA).collect()
+    assert candidates > 100 and len({r.delivery_id for r in got}) == len(got) == candidates
