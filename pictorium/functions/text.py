@@ -21,7 +21,6 @@ ROUTING_TERMS = (
     "commissions open", "commission prices", "price sheet", "terms of service", "tos", "adopt auction", "bidding", "ych", "merch", "print shop", "sticker", "keychain",
 )
 EXCLUDED_TERMS = ("18+", "explicit", "lewd", "nsfw", "porn", "yiff", "\U0001f51e")
-MAX_TEXT = 4_000
 
 
 @F.pandas_udf(StringType())
@@ -57,9 +56,9 @@ def match_score(matches: Column) -> Column:
     return F.least(F.lit(1.0), F.size(matches) * F.lit(0.25))
 
 
-def text_scores(text: Column) -> Column:
-    """Struct of positive, negative and net score and the matched terms of a normalised text."""
-    cut = F.substring(text, 1, MAX_TEXT)
+def text_scores(text: Column, most: int | None = None) -> Column:
+    """Struct of positive, negative and net score and the matched terms of a normalised text, or of its first ``most`` characters."""
+    cut = text if most is None else F.substring(text, 1, most)
     positive, negative, routing = (matched_terms(cut, t) for t in (POSITIVE_TERMS, NEGATIVE_TERMS, ROUTING_TERMS))
     up, down = match_score(positive), match_score(F.concat(negative, routing))
     net = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), up - down))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pictorium.functions import text
 from pictorium.operators import relational
 
 DATA = os.environ.get("PICTORIUM_TESTDATA", "/root/testdata/sf0.001")
@@ -34,3 +35,9 @@ def test_every_candidate_has_a_payload(spark):
     candidates = spark.read.parquet(f"{DATA}/candidates.parquet").select("candidate_id").distinct().count()
     got = entry.queries()["gallery_payload"](spark, DATA).collect()
     assert candidates > 100 and len({r.delivery_id for r in got}) == len(got) == candidates
+
+
+def test_terms_are_found_in_whole_texts(spark):
+    df = spark.createDataFrame([("so " * 2_000 + "sketch",)], "t string")
+    row = df.select(text.text_scores(F.col("t")).alias("whole"), text.text_scores(F.col("t"), 4_000).alias("cut")).first()
+    assert row.whole.positive_terms == ["sketch"] and row.cut.positive_terms == []
