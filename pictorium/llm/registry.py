@@ -24,9 +24,11 @@ def _results_by_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _safety_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Scores of documents (doc_id, source) and of candidates (candidate, source)."""
-    model = fitted(read_table(spark, sf_dir, "safety_samples"), read_table(spark, sf_dir, "reading_samples"))
-    documents = scored(read_table(spark, sf_dir, "documents"), model, ["text"], ["doc_id", "source"])
-    candidates = read_table(spark, sf_dir, "candidates").withColumn("candidate", blank_to_null(F.col("candidate_id")))
+    documents, candidates = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "candidates")
+    unrated = [(documents, "text"), (candidates, "post_text"), (candidates, "alt_text")]
+    model = fitted(read_table(spark, sf_dir, "safety_samples"), read_table(spark, sf_dir, "reading_samples"), unrated)
+    documents = scored(documents, model, ["text"], ["doc_id", "source"])
+    candidates = candidates.withColumn("candidate", blank_to_null(F.col("candidate_id")))
     return documents, scored(candidates.where("candidate is not null"), model, ["post_text", "alt_text"], ["candidate", "source"])
 
 

@@ -72,7 +72,7 @@ BAD = ["You are a total idiot and your lines are crap.", "Shut up, you stupid ba
 @pytest.fixture(scope="module")
 def model():
     rated = [(t, "none") for t in NONE] + [(t, "abuse") for t in BAD]
-    return safety.train(rated + seeds(), NONE)
+    return safety.train(rated, seeds(), NONE)
 
 
 def test_unseen_misspellings_and_disguises(model):
@@ -85,7 +85,7 @@ def test_unseen_misspellings_and_disguises(model):
 
 def test_wrong_ratings_are_dropped():
     rated = [(t, "none") for t in NONE] + [(t, "abuse") for t in BAD] + [("You are a stupid ugly idiot and a moron.", "none")]
-    kept = safety.cleaned(rated, seeds(), NONE)
+    kept, _ = safety.cleaned(rated, seeds(), NONE)
     assert ("You are a stupid ugly idiot and a moron.", "none") not in kept and len(kept) >= len(rated) - 4
 
 
