@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 # General terms of image posts that speak for and against artwork, and of offers.
@@ -56,15 +56,17 @@ def match_score(matches: Column) -> Column:
     return F.least(F.lit(1.0), F.size(matches) * F.lit(0.25))
 
 
-def text_scores(text: Column, most: int | None = None) -> Column:
-    """Struct of positive, negative and net score and the matched terms of a normalised text, or of its first ``most`` characters."""
-    cut = text if most is None else F.substring(text, 1, most)
-    positive, negative, routing = (matched_terms(cut, t) for t in (POSITIVE_TERMS, NEGATIVE_TERMS, ROUTING_TERMS))
-    up, down = match_score(positive), match_score(F.concat(negative, routing))
-    net = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), up - down))
-    return F.struct(
-        up.alias("positive_score"), down.alias("negative_score"), net.alias("net_score"), positive.alias("positive_terms"), negative.alias("negative_terms"), routing.alias("routing_terms")
-    )
+def with_text_scores(df: DataFrame, text: str, most: int | None = None) -> DataFrame:
+    """``df`` with positive, negative and net score and the matched terms of a normalised text, or of its first ``most`` characters.
+
+    In steps, so that neither the text nor the terms are worked out again for
+    every term and score.
+    """
+    cut = F.col(text) if most is None else F.substring(text, 1, most)
+    terms = {"positive_terms": POSITIVE_TERMS, "negative_terms": NEGATIVE_TERMS, "routing_terms": ROUTING_TERMS}
+    found = df.withColumn("_cut", cut).withColumns({name: matched_terms(F.col("_cut"), t) for name, t in terms.items()}).drop("_cut")
+    found = found.withColumns({"positive_score": match_score(F.col("positive_terms")), "negative_score": match_score(F.concat("negative_terms", "routing_terms"))})
+    return found.withColumn("net_score", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("positive_score") - F.col("negative_score"))))
 
 
 def contains_term(text: Column, term: str) -> Column:

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pictorium.operators.ranks import discrete, joined, values_at
 from pictorium.operators.relational import unpivot_counts
 
 
 def decision_summary(df: DataFrame, decision: str, artist: str, value: str, eligible: Column, exact: bool = True) -> DataFrame:
     """Rows, artists, eligible rows, mean and 95th percentile per decision."""
     artists = F.countDistinct(artist) if exact else F.approx_count_distinct(artist)
-    p95 = F.expr(f"percentile_disc(0.95) within group (order by {value})") if exact else F.percentile_approx(value, 0.95, 10_000)
-    return df.groupBy(F.col(decision).alias("decision")).agg(
+    grouped = df.groupBy(F.col(decision).alias("decision")).agg(
         F.count("*").alias("image_count"),
         artists.alias("artist_count"),
         F.count_if(eligible).alias("search_eligible_count"),
         F.round(F.avg(value), 9).alias("mean_value"),
-        p95.cast("double").alias("p95_value"),
+        *([] if exact else [F.percentile_approx(value, 0.95, 10_000).cast("double").alias("p95_value")]),
     )
+    if not exact:
+        return grouped
+    p95 = values_at(df.withColumn("decision", F.col(decision)), ["decision"], value, 0.95, {"p95_value": discrete(0.95)})
+    return joined(grouped, p95.withColumn("p95_value", F.col("p95_value").cast("double")), ["decision"], ["p95_value"])
 
 
 def artist_summary(df: DataFrame, artist: str, counters: dict[str, Column], label: str | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ the sorted 128-bit identifiers of the messages accepted in one batch.  An
 incoming batch is reduced to its distinct identifiers by a partial aggregate
 (so an identifier delivered a billion times costs one row per task), meets the
 runs of its prefix, and is looked up by binary search.  What no run holds is
-novel and becomes a new run.  Every ``merge_every`` runs are merged into one.
+novel and becomes a new run.  Runs of about one size are merged when
+``merge_every`` of them have gathered.  A manifest names the current runs, so a
+later process goes on where the last one ended.
 
 Replaying a history in slices of arrival time gives, for every version, the
 delivery that arrived first, because a slice only ever meets earlier arrivals.
@@ -14,12 +16,12 @@ delivery that arrived first, because a slice only ever meets earlier arrivals.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pictorium.runtime import blank_to_null, fresh_path, remove_path, written
+from pictorium.operators.runs import Runs
+from pictorium.runtime import blank_to_null, fresh_path, written
 
 RUN_SCHEMA = "prefix int, hi array<bigint>, lo array<bigint>"
 #: Distinct identifiers that one prefix of one slice may hold on average.
@@ -76,54 +78,73 @@ def _merged_runs(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class IdentifierIndex:
-    """Identifiers seen so far, as sorted arrays by hash prefix in immutable runs."""
+    """Identifiers seen so far, as sorted arrays by hash prefix in immutable runs.
 
-    def __init__(self, spark: SparkSession, prefixes: int, merge_every: int = 4):
-        self.spark, self.prefixes, self.merge_every = spark, prefixes, merge_every
-        self.place = fresh_path(spark, "identifiers")
-        self.runs: list[str] = []
-        self.written = 0
+    With a ``place`` the index is kept there and found again by a later process;
+    without one it lies in a fresh folder.  The number of prefixes grows with
+    what is held, so no prefix outgrows a task.
+    """
 
-    def prefix(self):
-        return F.pmod(F.shiftright(F.col("hi"), 16), F.lit(self.prefixes)).cast("int")
+    def __init__(self, spark: SparkSession, prefixes: int = 1, merge_every: int = 4, place: str | None = None, per_prefix: int = PER_PREFIX):
+        self.spark, self.merge_every, self.per_prefix = spark, merge_every, per_prefix
+        self.state = Runs(spark, place or fresh_path(spark, "identifiers"))
+        self.prefixes = self.state.notes.get("prefixes", prefixes)
+
+    @property
+    def runs(self) -> list[dict]:
+        return self.state.runs
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
+    @property
+    def held(self) -> int:
+        return sum(run["rows"] for run in self.runs)
 
-    def _add(self, run: DataFrame) -> str:
-        path = f"{self.place}/run-{self.written:06d}"
-        self.written += 1
-        run.write.option("compression", "zstd").parquet(path)
-        return path
+    def done(self, stream: str) -> int:
+        """The last batch of ``stream`` whose identifiers the index holds; -1 before the first."""
+        return self.state.notes.get(f"stream:{stream}", -1)
+
+    def prefix(self):
+        return F.pmod(F.shiftright(F.col("hi"), 16), F.lit(self.prefixes)).cast("int")
 
     def novel(self, firsts: DataFrame) -> DataFrame:
-        """The rows of ``firsts`` (hi, lo, arrived, delivery) whose identifier no run holds."""
+        """The rows of ``firsts`` (hi, lo, delivery) whose identifier no run holds."""
         rows = firsts.withColumn("prefix", self.prefix())
         if not self.runs:
             return rows
-        kept = rows.groupBy("prefix").cogroup(self._read(self.runs).groupBy("prefix"))
+        kept = rows.groupBy("prefix").cogroup(self.state.read(RUN_SCHEMA).groupBy("prefix"))
         return kept.applyInPandas(_novel, rows.schema)
 
-    def accept(self, novel: DataFrame) -> None:
-        """Persist the identifiers of ``novel`` as a new run; merge runs when enough have gathered."""
-        self.runs.append(self._add(novel.select("prefix", "hi", "lo").groupBy("prefix").applyInPandas(_sorted_arrays, RUN_SCHEMA)))
-        if len(self.runs) >= self.merge_every:
-            old, self.runs = self.runs, []
-            self.runs.append(self._add(self._read(old).groupBy("prefix").applyInPandas(_merged_runs, RUN_SCHEMA)))
-            for path in old:
-                remove_path(self.spark, path)
-
-    def check(self, batch: DataFrame, arrived: str, delivery: str) -> DataFrame:
-        """One batch: its first delivery of every version not seen before; the index learns them."""
+    def accept(self, novel: DataFrame, stream: str | None = None, epoch: int = -1) -> None:
+        """Persist the identifiers of ``novel`` as a new run, and with it that ``epoch`` is done; merge runs when enough have gathered."""
+        rows = novel.count()
+        run = self.state.write(novel.select("prefix", "hi", "lo").groupBy("prefix").applyInPandas(_sorted_arrays, RUN_SCHEMA), rows=rows)
+        self.state.commit([run], prefixes=self.prefixes, **({f"stream:{stream}": epoch} if stream is not None else {}))
+        if self.held > self.prefixes * self.per_prefix:
+            self._split(max(2 * self.prefixes, -(-2 * self.held // self.per_prefix)))
+        elif small := self.state.small_runs(self.merge_every):
+            merged = self.state.read(RUN_SCHEMA, small).groupBy("prefix").applyInPandas(_merged_runs, RUN_SCHEMA)
+            self.state.commit([self.state.write(merged, rows=sum(r["rows"] for r in small))], small)
+
+    def _split(self, prefixes: int) -> None:
+        """All runs as one with more prefixes; each time at least twice as many, so a row is moved seldom."""
+        self.prefixes = prefixes
+        held = self.state.read(RUN_SCHEMA).select(F.explode(F.arrays_zip("hi", "lo")).alias("x")).select("x.hi", "x.lo").withColumn("prefix", self.prefix())
+        old = list(self.runs)
+        run = self.state.write(held.groupBy("prefix").applyInPandas(_sorted_arrays, RUN_SCHEMA), rows=self.held)
+        self.state.commit([run], old, prefixes=prefixes)
+
+    def unseen(self, batch: DataFrame, arrived: str, delivery: str) -> DataFrame:
+        """The first delivery of every version in ``batch`` that the index doesn't hold, written; the index doesn't learn it."""
         firsts = (
             batch.where(F.col("hi").isNotNull() & F.col(delivery).isNotNull())
             .groupBy("hi", "lo")
             .agg(F.min(F.struct(F.col(arrived).isNull().alias("late"), F.col(arrived).alias("arrived"), F.col(delivery).alias("delivery"))).alias("first"))
             .select("hi", "lo", F.col("first.delivery").alias("delivery"))
         )
-        novel = written(self.novel(firsts), "novel")
+        return written(self.novel(firsts), "novel")
+
+    def check(self, batch: DataFrame, arrived: str, delivery: str) -> DataFrame:
+        """One batch: its first delivery of every version not seen before; the index learns them."""
+        novel = self.unseen(batch, arrived, delivery)
         self.accept(novel)
         return novel
 
@@ -153,7 +174,7 @@ def first_deliveries(
     spark = df.sparkSession
     keyed = message_version(df.select(id_col, version_col, arrived, delivery), id_col, version_col)
     total = df.select(arrived).count()
-    index = IdentifierIndex(spark, prefixes=max(1, -(-total // per_prefix)))
+    index = IdentifierIndex(spark, prefixes=max(1, -(-total // per_prefix)), per_prefix=per_prefix)
     marks = _slices(df, arrived, slices)
     kept: DataFrame | None = None
     for low, high in zip([None, *marks], [*marks, None]):
@@ -179,14 +200,21 @@ def repeated_deliveries(df: DataFrame, *, delivery: str = "delivery_id", id_col:
     return known.join(kept, known[delivery] == kept["_kept"], "left_anti")
 
 
-def exactly_once_sink(index: IdentifierIndex, out: str, *, id_col: str, version_col: str, arrived: str, delivery: str):
-    """A ``foreachBatch`` function that appends only first deliveries to the table at ``out``."""
+def exactly_once_sink(index: IdentifierIndex, out: str, *, id_col: str, version_col: str, arrived: str, delivery: str, stream: str = "intake"):
+    """A ``foreachBatch`` function that appends only first deliveries to the table at ``out``.
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        novel = index.check(message_version(batch, id_col, version_col), arrived, delivery)
+    A batch's rows go to a folder of its own, ``out/batch=<stream>-<number>``,
+    which a repeated batch overwrites; only then does the index learn them and
+    that the batch is done.  A failure between the two steps loses and doubles
+    nothing.  ``stream`` names the checkpoint whose batches are numbered.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        if epoch <= index.done(stream):
+            return
+        novel = index.unseen(message_version(batch, id_col, version_col), arrived, delivery)
         fresh = batch.join(novel.select(F.col("delivery").alias("_kept")), F.col(delivery) == F.col("_kept"), "left_semi")
-        fresh.write.mode("append").parquet(out)
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={stream}-{epoch:09d}")
+        index.accept(novel, stream, epoch)
 
     return sink
-
-

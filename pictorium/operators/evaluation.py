@@ -126,10 +126,14 @@ def threshold_sweep(df: DataFrame, score: str, truth: str, steps: int = 100, dig
     table of ``steps + 1`` rows instead of a comparison of every row with every
     threshold.
     """
-    exact = F.col(score).cast("double")
-    below = F.expr(f"aggregate(sequence(0, {steps}), 0, (n, t) -> n + if(cast(t as double) / {float(steps)}D <= {score}, 1, 0))")
-    under = F.expr(f"aggregate(sequence(0, {steps}), 0, (n, t) -> n + if(cast(t as double) / {float(steps)}D < {score}, 1, 0))")
-    placed = df.where(exact.isNotNull()).select(below.alias("reach"), under.alias("first"), F.col(truth).alias("truth"))
+    rows = df.select(F.col(score).cast("double").alias("s"), F.col(truth).alias("truth")).where("s is not null")
+    # The number of thresholds up to a score: its floor, put right by one where division and product round apart.
+    guess = F.when(F.isnan("s"), steps).otherwise(F.least(F.greatest(F.floor(F.col("s") * steps), F.lit(-1)), F.lit(steps))).cast("int")
+    step = lambda k: k.cast("double") / float(steps)
+    at = F.col("guess")
+    right = F.when((at < steps) & (step(at + 1) <= F.col("s")), at + 1).when((at >= 0) & (step(at) > F.col("s")), at - 1).otherwise(at)
+    placed = rows.withColumn("guess", guess).withColumn("reach", right + 1)
+    placed = placed.select("reach", F.when((F.col("reach") > 0) & (step(F.col("reach") - 1) == F.col("s")), F.col("reach") - 1).otherwise(F.col("reach")).alias("first"), "truth")
     counted = placed.groupBy("reach", "first").agg(F.count("*").alias("n"), F.count_if("truth").alias("p"))
     # From here on there are at most (steps + 2) squared rows, whatever the input.
     everything = Window.partitionBy()

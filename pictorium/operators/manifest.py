@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pictorium.operators.latest import latest_per_key
-from pictorium.operators.relational import validated_join
+from pictorium.operators.ranks import discrete, joined, values_at
 from pictorium.runtime import blank_to_null
 
 MANIFEST_VERSION = 1
@@ -23,10 +23,10 @@ def manifest(candidates: DataFrame, artworks: DataFrame, artists: DataFrame) ->
     works = artworks.select(blank_to_null(F.col("source_id")).alias("candidate"), "artwork_id", blank_to_null(F.col("artist_id")).alias("artist"), "is_sfw", "validated", "date_added")
     works = latest_per_key(works.where("candidate is not null"), ["candidate"], [F.col("date_added").desc_nulls_last(), F.col("artwork_id")])
     known = artists.select(blank_to_null(F.col("artist_id")).alias("artist"), "display_name").groupBy("artist").agg(F.min("display_name").alias("display_name"))
-    joined = validated_join(latest, works, ["candidate"], "left")
-    joined = validated_join(joined, known, ["artist"], "left")
+    # Both right sides hold a key once, so the joins need no check of that.
+    rows = latest.join(works, ["candidate"], "left").join(known, ["artist"], "left")
     linked = F.col("artwork_id").isNotNull()
-    return joined.withColumns(
+    return rows.withColumns(
         {"manifest_version": F.lit(MANIFEST_VERSION), "is_linked": linked, "is_search_eligible": linked & F.coalesce(F.col("validated"), F.lit(False))}
     )
 
@@ -39,12 +39,13 @@ def manifest_summary(rows: DataFrame) -> DataFrame:
 
 def intake_metrics(rows: DataFrame) -> DataFrame:
     """Cohorts by day and source, ordered."""
-    day = F.to_date("received_at").cast("string")
-    grouped = rows.groupBy(day.alias("day"), "source").agg(
+    rows = rows.withColumn("day", F.to_date("received_at").cast("string"))
+    grouped = rows.groupBy("day", "source").agg(
         F.count("*").alias("image_count"),
         F.countDistinct("author_did").alias("author_count"),
         F.count_if("is_linked").alias("linked_count"),
         F.round(F.avg(F.col("declared_width").cast("double")), 6).alias("mean_width"),
-        F.expr("percentile_disc(0.95) within group (order by declared_width)").cast("double").alias("p95_width"),
     )
-    return grouped.orderBy("day", "source")
+    p95 = values_at(rows, ["day", "source"], "declared_width", 0.95, {"p95_width": discrete(0.95)})
+    p95 = p95.withColumn("p95_width", F.col("p95_width").cast("double"))
+    return joined(grouped, p95, ["day", "source"], ["p95_width"]).orderBy("day", "source")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from pictorium.operators.ranks import nearest, values_at
 
 from pictorium.operators.latest import latest_per_key
 
@@ -38,16 +40,8 @@ def facet_counts(df: DataFrame, facets: list[str], needle: str | None = None, te
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
-    """The element at index round(q * (n - 1)) of each group's sorted values.
-
-    Values are counted first, so a group is walked once over its distinct values
-    in sorted order, which spills, and is never held as a list.
-    """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    walked = counted.withColumns({"_upto": upto, "_at": F.round(F.lit(q) * (total - 1))})
-    return walked.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at"))).select(*by, F.col(value).cast("double").alias(name))
+    """The element at index round(q * (n - 1)) of each group's sorted values."""
+    return values_at(df, by, value, q, {name: nearest(q)}).withColumn(name, F.col(name).cast("double"))
 
 
 def reason_codes(error: Column, codes: dict[str, str], otherwise: str = "error.unknown") -> Column:

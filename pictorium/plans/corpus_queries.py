@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pictorium.functions import geometry, keys, text, times, web
-from pictorium.operators import audit, latest, manifest, moderation, near_duplicates, relational, sampling, snapshots
+from pictorium.operators import audit, latest, manifest, moderation, near_duplicates, ranks, relational, sampling, snapshots
 from pictorium.plans.register import Register
 from pictorium.runtime import blank_to_null, read_table
 
@@ -62,11 +62,12 @@ def decision_summary_approximate(spark, d):
 )
 def percentile_flavours(spark, d):
     events = read_table(spark, d, "events")
-    near = snapshots.nearest_rank(events, ["event_type"], "value", 0.95, "p95_nearest")
-    rest = events.groupBy("event_type").agg(
-        F.expr("percentile_disc(0.95) within group (order by value)").alias("p95_disc"), F.round(F.percentile("value", 0.95), 9).alias("p95_linear")
-    )
-    return near.join(rest, "event_type")
+    low, high = ranks.between(0.95)
+    found = ranks.values_at(events, ["event_type"], "value", 0.95, {"p95_nearest": ranks.nearest(0.95), "p95_disc": ranks.discrete(0.95), "low": low, "high": high})
+    sizes = events.groupBy("event_type").agg((F.lit(0.95) * (F.count("value") - 1)).alias("at"))
+    part = F.col("at") - F.floor("at")
+    linear = F.col("low") * (1 - part) + F.col("high") * part
+    return ranks.joined(sizes, found, ["event_type"], ["p95_nearest", "p95_disc", "low", "high"]).select("event_type", "p95_nearest", "p95_disc", F.round(linear, 9).alias("p95_linear"))
 
 
 # ---------------------------------------------------------------- manifest
@@ -387,15 +388,15 @@ SELECT delivery_id, positive_score, negative_score, greatest(-1.0, least(1.0, po
 def text_signal_scores(spark, d):
     c = read_table(spark, d, "candidates")
     plain = text.collapse_blanks(F.concat_ws("\n", "post_text", F.coalesce("alt_text", F.lit(""))))
-    s = c.select("delivery_id", text.text_scores(plain).alias("s"))
-    return s.select("delivery_id", "s.positive_score", "s.negative_score", "s.net_score")
+    s = text.with_text_scores(c.select("delivery_id", plain.alias("t")), "t")
+    return s.select("delivery_id", "positive_score", "negative_score", "net_score")
 
 
 @register()
 def text_signal_scores_nfkc(spark, d):
     c = read_table(spark, d, "candidates")
-    s = c.select("delivery_id", text.text_scores(text.normalize_text(F.concat_ws("\n", "post_text", F.coalesce("alt_text", F.lit(""))))).alias("s"))
-    return s.select("delivery_id", "s.*")
+    s = c.select("delivery_id", text.normalize_text(F.concat_ws("\n", "post_text", F.coalesce("alt_text", F.lit("")))).alias("t"))
+    return text.with_text_scores(s, "t").drop("t")
 
 
 @register(
@@ -444,8 +445,7 @@ r AS (SELECT *, greatest(1, round_even((w - crop_left - crop_right) * scale, 0):
 SELECT artwork_id, crop_left::BIGINT AS crop_left, crop_top::BIGINT AS crop_top, rw::BIGINT AS resized_width, rh::BIGINT AS resized_height, ((448 - rw) // 2)::BIGINT AS pad_left, ((448 - rh) // 2)::BIGINT AS pad_top, round(scale, 9) AS scale_factor FROM r"""
 )
 def transform_geometry(spark, d):
-    plan = geometry.transform_plan(F.col("orig_width"), F.col("orig_height"))
-    rows = read_table(spark, d, "artworks").select("artwork_id", plan.alias("p")).where("p is not null")
+    rows = geometry.with_transform_plan(read_table(spark, d, "artworks").select("artwork_id", "orig_width", "orig_height"), "orig_width", "orig_height", "p").where("p is not null")
     return rows.select("artwork_id", "p.crop_left", "p.crop_top", "p.resized_width", "p.resized_height", "p.pad_left", "p.pad_top", F.round("p.scale_factor", 9).alias("scale_factor"))
 
 

@@ -3,16 +3,20 @@
 Iterative operators cut their lineage by writing a table into the folder that
 the cluster names in ``spark.checkpoint.dir``.  That folder is shared by all
 executors, so a written step is never recomputed and never lost with one of
-them.  Only where the setting is missing (tests, a laptop) is a folder chosen
-here.
+them.  Only where the setting is missing on a local master (tests, a laptop) is
+a folder chosen here.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -41,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     place = spark.conf.get(CHECKPOINT_KEY, None)
     if place:
         return place.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     place = "file://" + os.path.join(tempfile.gettempdir(), f"pictorium-{os.getpid()}")
     spark.conf.set(CHECKPOINT_KEY, place)
     return place
@@ -55,12 +61,35 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def remove_intermediate(spark: SparkSession) -> None:
+def remove_intermediate(spark: SparkSession, since: int = 0) -> None:
     """Delete what this process has written to the shared folder; results not yet read are lost."""
-    while _made:
+    while len(_made) > since:
         remove_path(spark, _made.pop())
 
 
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end of the block what was written to the shared folder within it.
+
+    The results of queries begun in the block must have been read or written by then.
+    """
+    since = len(_made)
+    try:
+        yield
+    finally:
+        remove_intermediate(spark, since)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """What no block has deleted goes with the process."""
+    context = SparkContext._active_spark_context
+    session = SparkSession.getActiveSession()
+    if _made and context is not None and session is not None:
+        with suppress(Exception):
+            remove_intermediate(session)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,9 +32,13 @@ def versioned(stream: DataFrame, keys: tuple[str, str] = ("candidate_id", "post_
 
 
 def once_only(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, index: IdentifierIndex | None = None) -> StreamingQuery:
-    """Deliveries appended to ``out`` at most once per version, across batches, by the identifier index."""
-    index = index or IdentifierIndex(spark, prefixes=1)
-    sink = exactly_once_sink(index, out, id_col="candidate_id", version_col="post_cid", arrived="received_at", delivery="delivery_id")
+    """Deliveries appended to ``out`` at most once per version, across batches and restarts, by the identifier index.
+
+    Without an ``index`` one is kept beside the checkpoint.
+    """
+    index = index or IdentifierIndex(spark, place=f"{checkpoint.rstrip('/')}-identifiers")
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]  # batches are numbered per checkpoint
+    sink = exactly_once_sink(index, out, id_col="candidate_id", version_col="post_cid", arrived="received_at", delivery="delivery_id", stream=name)
     return process_available(stream, sink, checkpoint)
 
 

@@ -19,9 +19,10 @@ def test_normalised_text(spark):
 
 
 def test_terms_match_whole_words(spark):
-    s = one(spark, text.text_scores(F.col("t")), "t string", ("sketch, commissioné and my cat: wip_ wip",))
+    scored = lambda t: text.with_text_scores(spark.createDataFrame([(t,)], "t string"), "t").first()
+    s = scored("sketch, commissioné and my cat: wip_ wip")
     assert s.positive_terms == ["sketch", "wip"] and s.negative_terms == ["my cat"] and s.net_score == 0.25
-    empty = one(spark, text.text_scores(F.col("t")), "t string", ("",))
+    empty = scored("")
     assert (empty.positive_score, empty.negative_score, empty.net_score) == (0.0, 0.0, 0.0)
 
 
@@ -42,21 +43,24 @@ def test_softmax_family(spark):
     assert one(spark, numeric.sigmoid(F.lit(-800.0))) == 0.0 and one(spark, numeric.sigmoid(F.lit(0.0))) == 0.5
 
 
+def planned(spark, width, height, *how):
+    return geometry.with_transform_plan(spark.createDataFrame([(width, height)], "w int, h int"), "w", "h", "p", *how).first().p
+
+
 @pytest.mark.parametrize("width,height,want", [(800, 400, (0, 0, 0.56, 448, 224, 0, 112, 112)), (400, 1200, (0, 100, 0.448, 179, 448, 134, 0, 0)), (100, 100, (0, 0, 4.48, 448, 448, 0, 0, 0))])
 def test_geometry(spark, width, height, want):
-    p = one(spark, geometry.transform_plan(F.col("w"), F.col("h")), "w int, h int", (width, height))
+    p = planned(spark, width, height)
     assert (p.crop_left, p.crop_top, p.scale_factor, p.resized_width, p.resized_height, p.pad_left, p.pad_top, p.pad_bottom) == want
 
 
 def test_geometry_with_other_ratio(spark):
-    p = one(spark, geometry.transform_plan(F.col("w"), F.col("h"), 448, 2.0), "w int, h int", (400, 1200))
+    p = planned(spark, 400, 1200, 448, 2.0)
     assert (p.crop_top, p.crop_bottom, p.resized_width, p.resized_height, p.pad_left, p.pad_right) == (200, 200, 224, 448, 112, 112)
-    assert one(spark, geometry.transform_plan(F.col("w"), F.col("h")), "w int, h int", (0, 5)) is None
+    assert planned(spark, 0, 5) is None and planned(spark, None, 5) is None
 
 
 def test_geometry_round_trip(spark):
-    plan = geometry.transform_plan(F.col("w"), F.col("h"))
-    df = spark.createDataFrame([(37.0, 911.0, 400, 1200)], "x double, y double, w int, h int").withColumn("p", plan)
+    df = geometry.with_transform_plan(spark.createDataFrame([(37.0, 911.0, 400, 1200)], "x double, y double, w int, h int"), "w", "h", "p")
     sx, sy = geometry.to_standard(F.col("x"), F.col("y"), F.col("p"))
     back = df.withColumns({"sx": sx, "sy": sy}).select(*geometry.to_original(F.col("sx"), F.col("sy"), F.col("p"))).first()
     assert math.isclose(back[0], 37) and math.isclose(back[1], 911)

@@ -39,5 +39,5 @@ def test_every_candidate_has_a_payload(spark):
 
 def test_terms_are_found_in_whole_texts(spark):
     df = spark.createDataFrame([("so " * 2_000 + "sketch",)], "t string")
-    row = df.select(text.text_scores(F.col("t")).alias("whole"), text.text_scores(F.col("t"), 4_000).alias("cut")).first()
-    assert row.whole.positive_terms == ["sketch"] and row.cut.positive_terms == []
+    whole, cut = text.with_text_scores(df, "t").first(), text.with_text_scores(df, "t", 4_000).first()
+    assert whole.positive_terms == ["sketch"] and cut.positive_terms == []
