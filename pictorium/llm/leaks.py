@@ -34,18 +34,21 @@ SHARE = 1 / 3
 QUOTE = 10
 #: A passage matches by at least this share of its words, weighed by how rare they are among the items.
 ALIKE = 0.62
-TABLE_BITS = 20
+#: Bits of the shift table; from many patterns on it grows, so that most of its places stay free.
+TABLE_BITS, MOST_BITS, FREE = 20, 26, 16
+#: Items that one pass over the documents looks for.
+ITEMS_AT_ONCE = 200_000
 #: Characters that one pass of the scanner takes together.
 AT_ONCE = 4_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hash(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hash(codes: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
     """Hash of the BLOCK characters that end at each of ``ends``."""
     h = np.zeros(len(ends), np.uint64)
     for k in range(BLOCK - 1, -1, -1):
         h = (h ^ codes[ends - k]) * _MULTIPLIER
-    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -61,12 +64,14 @@ class WuManber:
         if patterns and self.least < BLOCK:
             raise ValueError("a pattern is shorter than a block")
         m = self.least
-        self.shift = np.full(1 << TABLE_BITS, max(m - BLOCK + 1, 1), np.int32)
+        blocks = len(patterns) * max(m - BLOCK + 1, 1)
+        self.bits = min(MOST_BITS, max(TABLE_BITS, (FREE * blocks).bit_length()))
+        self.shift = np.full(1 << self.bits, max(m - BLOCK + 1, 1), np.int32)
         self.bucket: dict[int, list[int]] = defaultdict(list)
         for number, pattern in enumerate(patterns):
             codes = _codes(pattern)
             ends = np.arange(BLOCK - 1, m)
-            slots = _hash(codes, ends)
+            slots = _hash(codes, ends, self.bits)
             np.minimum.at(self.shift, slots, (m - 1 - ends).astype(np.int32))
             self.bucket[int(slots[-1])].append(number)
 
@@ -77,7 +82,7 @@ class WuManber:
         stop = np.minimum(at + LANE, len(codes))
         hits = []
         while len(at):
-            step = self.shift[_hash(codes, at)]
+            step = self.shift[_hash(codes, at, self.bits)]
             zero = step == 0
             hits.append(at[zero])
             at = at + np.maximum(step, 1)
@@ -91,7 +96,7 @@ class WuManber:
         if self.patterns and len(text) >= self.least:
             codes = _codes(text)
             ends = self.ends_of_blocks(codes)
-            for end, slot in zip(ends.tolist(), _hash(codes, ends).tolist()):
+            for end, slot in zip(ends.tolist(), _hash(codes, ends, self.bits).tolist()):
                 start = end - self.least + 1
                 for number in self.bucket.get(slot, ()):
                     if text.startswith(self.patterns[number], start):
@@ -235,7 +240,7 @@ class Items:
         item = self.tokens[number]
         return sum(rare.get(item[j], 0.0) for j in near if j < len(item)) >= 4.0
 
-def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", most_items: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """(doc_id, item_id, words_found, item_words): documents that carry an item, wholly or in part.
 
     A document carries an item if it reproduces at least ten and at least a
@@ -244,16 +249,14 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
 
     Defined results: NULL and empty texts carry nothing; rows without a key are
     passed over; repeated rows give repeated results; items of fewer than ten
-    words can't leak.  The items are the stated query set; more than
-    ``most_items`` of them are refused rather than broadcast.
+    words can't leak.  The items are the stated query set: they are broadcast in
+    blocks of about ``at_once``, each of which goes over the documents once.
     """
     spark = docs.sparkSession
-    rows = items.select(F.col(item).cast("bigint"), F.col(item_text)).where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).distinct().limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} items; search them in parts")
-    prepared = spark.sparkContext.broadcast(Items.prepare([(r[0], r[1]) for r in rows]))
+    wanted = items.select(F.col(item).cast("bigint").alias("id"), F.col(item_text).alias("body")).where("id is not null and body is not null").distinct()
+    blocks = max(1, -(-wanted.count() // at_once))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame], prepared) -> Iterator[pd.DataFrame]:
         held = prepared.value
         for frame in batches:
             keys = frame["key"].tolist()
@@ -261,4 +264,11 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "words_found", "item_words"])
 
     asked = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("bigint").alias("key"), F.col(text).alias("body"))
-    return spread(asked).mapInPandas(scan, "doc_id bigint, item_id bigint, words_found int, item_words int")
+    asked = spread(asked)
+    out: DataFrame | None = None
+    for block in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
+        prepared = spark.sparkContext.broadcast(Items.prepare([(r[0], r[1]) for r in rows]))
+        part = asked.mapInPandas(lambda b, prepared=prepared: scan(b, prepared), "doc_id bigint, item_id bigint, words_found int, item_words int")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -24,6 +24,14 @@ def test_search_over_many_lanes():
     assert numbers.tolist() == [0, 1] * 5 and all(text.startswith(["needle-one", "another needle"][n], s) for s, n in zip(starts.tolist(), numbers.tolist()))
 
 
+def test_the_shift_table_grows_with_the_patterns():
+    patterns = [f"pattern{k:07d}" for k in range(30_000)]
+    search = leaks.WuManber(patterns)
+    assert search.bits > leaks.TABLE_BITS
+    starts, numbers = search.find("xx pattern0000007 yy pattern0029999 pattern003000")
+    assert starts.tolist() == [3, 21] and numbers.tolist() == [7, 29_999]
+
+
 def wide(text):
     return "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in text)
 
@@ -55,8 +63,8 @@ def test_leaks_operator(spark):
     rows = leaks.leaks(docs, items).collect()
     assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 7), (1, 7), (4, 7)] and all(r.words_found == r.item_words for r in rows)
     assert leaks.leaks(docs, items.limit(0)).count() == 0 and leaks.leaks(docs.limit(0), items).count() == 0
-    with pytest.raises(ValueError):
-        leaks.leaks(docs, items, most_items=1)
+    parts = leaks.leaks(docs, items, at_once=1).collect()
+    assert sorted((r.doc_id, r.item_id) for r in parts) == [(1, 7), (1, 7), (4, 7)]
 
 
 def test_folding():
