@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,3 +52,26 @@ def maxsim(query: Column, candidate: Column, top_n: int = 1) -> Column:
 def shifted(v: Column, direction: Column, strength: float) -> Column:
     """Moved along a direction and brought back to unit length."""
     return l2_normalize(F.zip_with(v, direction, lambda x, d: x.cast("double") + d.cast("double") * F.lit(strength)))
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def from_bytes(blob: pd.Series) -> pd.Series:
+    """Little-endian 32-bit floats as an array; NULL where the length isn't a whole number of them."""
+    return blob.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+
+@F.pandas_udf(BinaryType())
+def to_bytes(vector: pd.Series) -> pd.Series:
+    """An array as little-endian 32-bit floats."""
+    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+def reshaped(v: Column, dims: int) -> Column:
+    """A flat vector as rows of ``dims``; NULL where it doesn't divide."""
+    rows = F.transform(F.sequence(F.lit(0), (F.size(v) / dims).cast("int") - 1), lambda k: F.slice(v, k * dims + 1, dims))
+    return F.when((F.size(v) > 0) & (F.size(v) % dims == 0), rows)
+
+
+def point_hash(vectors: list[Column], payload: Column) -> Column:
+    """SHA-256 of the vectors' bytes and a payload's text."""
+    return F.sha2(F.concat(*vectors, F.encode(payload, "UTF-8")), 256)

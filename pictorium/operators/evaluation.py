@@ -177,3 +177,23 @@ def policy_projection(df: DataFrame, score: str, truth: str, accept: float, reje
         F.count_if(r).alias("reject_count"), F.round(ratio(F.count_if(r & ~t), F.count_if(r)), digits).alias("reject_precision"),
         (n - F.count_if(a | r)).alias("review_count"), F.round(ratio(n - F.count_if(a | r), n), digits).alias("review_rate"),
     )
+
+
+def false_accepts(df: DataFrame, subtype: str, truth: Column, accepted: Column, digits: int = 9) -> DataFrame:
+    """Per subtype of the samples that are none: how many there are, how many were accepted, and the rate."""
+    hit = F.count_if(F.coalesce(accepted, F.lit(False)))
+    return df.where(~truth).groupBy(subtype).agg(F.count("*").alias("support"), hit.alias("accepted"), F.round(ratio(hit, F.count("*")), digits).alias("rate"))
+
+
+def mode_report(judged: DataFrame, by: list[str], query: str, score: str = "score", digits: int = 9) -> DataFrame:
+    """:func:`ranking_metrics` with the retrieved confusion and the mean scores of relevant and other results.
+
+    What wasn't retrieved isn't judged, so true and false negatives are NULL.
+    """
+    mine = F.col("relevant")
+    extra = judged.groupBy(*by).agg(
+        F.count_if(~mine).alias("not_relevant"), F.round(F.avg(F.when(mine, F.col(score))), digits).alias("mean_relevant_score"), F.round(F.avg(F.when(~mine, F.col(score))), digits).alias("mean_not_relevant_score")
+    )
+    rows = ranking_metrics(judged, by, query, digits).join(extra, by)
+    none = F.lit(None).cast("bigint")
+    return rows.withColumns({"true_positive": F.col("relevant"), "false_positive": F.col("not_relevant"), "true_negative": none, "false_negative": none})

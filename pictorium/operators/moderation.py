@@ -17,7 +17,7 @@ FEED_SCHEMA = (
 )
 # Labels that leave a post out, and the image rules' limits.
 EXCLUDED_LABELS = ("!hide", "!warn", "!no-unauthenticated", "porn", "sexual", "sexual-figurative", "nudity", "graphic-media", "gore")
-LEAST_SIDE, LEAST_AREA, MOST_ASPECT = 256, 100_000, 8.0
+LEAST_SIDE, LEAST_AREA, MOST_ASPECT, LEAST_SPREAD = 256, 100_000, 8.0, 5.0
 
 
 def active_labels(labels: Column) -> Column:
@@ -59,13 +59,19 @@ def flatten_feed(items: DataFrame, public_safe: bool = True) -> DataFrame:
     )
 
 
-def rule_hits(width: Column, height: Column, is_repost: Column, is_quote: Column) -> Column:
-    """Array of (rule, disposition, value) of the image and provenance rules that hold; unknown sizes break no rule."""
+def rule_hits(width: Column, height: Column, is_repost: Column, is_quote: Column, animated: Column | None = None, spread: Column | None = None) -> Column:
+    """Array of (rule, disposition, value) of the image and provenance rules that hold; what is unknown breaks no rule.
+
+    ``spread`` is the largest standard deviation of the image's channels.
+    """
+    none = F.lit(None)
     aspect = F.greatest(width / height, height / width)
     rules = [
         ("media.minimum_dimensions", "force_reject", (width < LEAST_SIDE) | (height < LEAST_SIDE), F.least(width, height)),
         ("media.minimum_area", "force_reject", width * height < LEAST_AREA, width * height),
         ("media.extreme_aspect_ratio", "force_review", aspect > MOST_ASPECT, aspect),
+        ("media.animation", "force_reject", none.cast("boolean") if animated is None else animated, none),
+        ("media.low_variance", "force_review", none.cast("boolean") if spread is None else spread < LEAST_SPREAD, none if spread is None else spread),
         ("provenance.repost", "force_review", is_repost, F.lit(None)),
         ("provenance.quote_post", "force_review", is_quote, F.lit(None)),
     ]

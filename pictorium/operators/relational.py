@@ -89,7 +89,7 @@ def unpivot_counts(wide: DataFrame, name: str = "metric", value: str = "value")
     return wide.select(*[F.col(c).cast("bigint").alias(c) for c in wide.columns]).unpivot([], wide.columns, name, value)
 
 
-def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+def placed(df: DataFrame, order: list[str | Column], name: str = "place") -> DataFrame:
     """``df`` with ``name``, each row's place in the whole table by ``order``, which should end with a unique column.
 
     Rows are cut into ranges of ``order``, written and numbered range by range;
@@ -101,3 +101,48 @@ def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.withColumn(name, inside).join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_before") + F.col(name)).cast("int")).drop("_range", "_before")
+
+
+def zip_strict(left: DataFrame, right: DataFrame, left_order: list[str | Column], right_order: list[str | Column]) -> DataFrame:
+    """Rows of two tables of equal size paired by their place in each one's order, which should end with a unique column.
+
+    Columns of the two must not clash; tables of different size are an error.
+    """
+    if both := sorted(set(left.columns) & set(right.columns)):
+        raise ContractError(f"columns of both: {', '.join(both)}")
+    a, b = placed(left, left_order, "_place"), placed(right, right_order, "_place")
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ContractError(f"{n} rows can't be paired with {m}")
+    return a.join(b, "_place").drop("_place")
+
+
+def apply_sync(state: DataFrame, wanted: DataFrame, plan: DataFrame, key: str) -> DataFrame:
+    """The state after a :func:`sync_plan`: rows to insert or update from ``wanted``, unchanged ones as they are."""
+    kept = state.join(plan.where("action = 'unchanged'").select(key), key, "left_semi")
+    return kept.unionByName(wanted.join(plan.where("action in ('insert', 'update')").select(key), key, "left_semi"), allowMissingColumns=True)
+
+
+def with_any_event(df: DataFrame, events: DataFrame, key: str, kind: str, kinds: list[str]) -> DataFrame:
+    """Rows with an event of any of the kinds."""
+    return df.join(events.where(F.col(kind).isin(*kinds)).select(key).distinct(), key, "left_semi")
+
+
+def lineage_matches(df: DataFrame, state: DataFrame, key: str, lineage: dict[str, str], name: str = "is_current") -> DataFrame:
+    """``df`` with whether the state holds its key under exactly this lineage; a key it lacks doesn't."""
+    same = state
+    for column, value in lineage.items():
+        same = same.where(F.col(column) == F.lit(value))
+    held = same.select(F.col(key).alias("_held")).distinct()
+    return df.join(held, F.col(key) == F.col("_held"), "left").withColumn(name, F.col("_held").isNotNull()).drop("_held")
+
+
+def merge_counters(parts: list[DataFrame], by: list[str], counter: str = "n") -> DataFrame:
+    """Counters of several runs added up."""
+    return reduce(DataFrame.unionByName, parts).groupBy(*by).agg(F.sum(counter).alias(counter))
+
+
+def sample_errors(df: DataFrame, message: Column, most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The number of rows with a message, and the first ``most`` messages in order."""
+    bad = df.select(message.alias("message")).where("message is not null")
+    return bad.agg(F.count("*").alias("errors")), bad.orderBy("message").limit(most)

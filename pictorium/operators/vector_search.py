@@ -69,13 +69,26 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k:
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def reciprocal_rank_fusion(lists: list[DataFrame], limit: int | None = None, constant: float = 60.0, digits: int = 12) -> DataFrame:
-    """(query, item, score, rank) of several ranked lists (query, item, rank)."""
+def funnel_limits(prefetch: int, fusion: int, rerank: int, k: int) -> tuple[int, int, int, int]:
+    """The limits, which must not grow from stage to stage."""
+    if not prefetch >= fusion >= rerank >= k > 0:
+        raise ValueError(f"limits must fall from stage to stage: {prefetch}, {fusion}, {rerank}, {k}")
+    return prefetch, fusion, rerank, k
+
+
+def reciprocal_rank_fusion(lists: list[DataFrame], limit: int | None = None, constant: float = 60.0, digits: int = 12, names: list[str] | None = None) -> DataFrame:
+    """(query, item, score, rank) of several ranked lists (query, item, rank).
+
+    With ``names`` for the lists, which then need a score, also each list's
+    ``<name>_score`` and ``<name>_rank``, NULL where it doesn't hold the item.
+    """
     votes: DataFrame | None = None
-    for one in lists:
-        part = one.select("query", "item", (F.lit(1.0) / (F.col("rank") + F.lit(constant))).alias("vote"))
+    for number, one in enumerate(lists):
+        own = [F.lit(number).alias("_list"), F.col("score").alias("_score"), F.col("rank").alias("_rank")] if names else []
+        part = one.select("query", "item", (F.lit(1.0) / (F.col("rank") + F.lit(constant))).alias("vote"), *own)
         votes = part if votes is None else votes.unionByName(part)
-    fused = votes.groupBy("query", "item").agg(F.round(F.sum("vote"), digits).alias("score"))
+    evidence = [F.max(F.when(F.col("_list") == number, F.col(f"_{what}"))).alias(f"{name}_{what}") for number, name in enumerate(names or []) for what in ("score", "rank")]
+    fused = votes.groupBy("query", "item").agg(F.round(F.sum("vote"), digits).alias("score"), *evidence)
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("item"))
     ranked = fused.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= limit) if limit else ranked
@@ -138,3 +151,52 @@ def gram_schmidt(axes: list[list[float]], least: float = 1e-8) -> list[list[floa
             raise ValueError(f"axis {number} depends on the earlier ones")
         done.append(rest / size)
     return [a.tolist() for a in done]
+
+
+def top_patches(matches: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most similar query patches of each pair of :func:`patch_matches`; ties go to the smaller patch."""
+    order = Window.partitionBy("query", "item").orderBy(F.col("similarity").desc(), F.col("query_patch"))
+    return matches.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def recall_summary(per_query: DataFrame, digits: int = 9) -> DataFrame:
+    """Queries, mean and least recall."""
+    return per_query.agg(F.count("*").alias("queries"), F.round(F.avg("recall"), digits).alias("mean_recall"), F.round(F.min("recall"), digits).alias("minimum_recall"))
+
+
+def latency_summary(timings: DataFrame, by: list[str], milliseconds: str, digits: int = 9) -> DataFrame:
+    """Median and 95th percentile of measured times, interpolated; one row per measured search goes in."""
+    at = lambda q: F.round(F.percentile(milliseconds, q), digits)
+    return timings.groupBy(*by).agg(F.count("*").alias("searches"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"))
+
+
+def payload_filter(df: DataFrame, must: dict[str, object] = {}, must_not: dict[str, object] = {}) -> DataFrame:
+    """Rows whose columns equal every value of ``must`` and none of ``must_not``; NULL equals nothing."""
+    for column, value in must.items():
+        df = df.where(F.col(column) == F.lit(value))
+    for column, value in must_not.items():
+        df = df.where(~F.coalesce(F.col(column) == F.lit(value), F.lit(False)))
+    return df
+
+
+def collection_check(df: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(vector_name, expected_dims, rows, missing, wrong_dims, not_unit) of the named vectors of a table, in one pass."""
+    stats = []
+    for name, dims in expected.items():
+        v = F.col(name)
+        right = F.size(v) == dims
+        length = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+        stats += [F.count_if(v.isNull()).alias(f"m_{name}"), F.count_if(v.isNotNull() & ~right).alias(f"w_{name}")]
+        stats.append(F.count_if(right & ~F.coalesce(F.abs(F.sqrt(length) - 1) <= 1e-3, F.lit(False))).alias(f"u_{name}"))
+    one = df.agg(F.count("*").alias("rows"), *stats)
+    cells = [
+        F.struct(F.lit(n).alias("vector_name"), F.lit(d).alias("expected_dims"), F.col("rows"), F.col(f"m_{n}").alias("missing"), F.col(f"w_{n}").alias("wrong_dims"), F.col(f"u_{n}").alias("not_unit"))
+        for n, d in expected.items()
+    ]
+    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def scroll(df: DataFrame, key: str, after: object | None, limit: int) -> DataFrame:
+    """A page of rows in order of their unique key, after the last key of the page before."""
+    rows = df if after is None else df.where(F.col(key) > F.lit(after))
+    return rows.orderBy(key).limit(limit)

@@ -462,7 +462,10 @@ def record_keys(spark, d):
     )
 
 
-@register()
+@register(
+    """WITH h AS (SELECT artwork_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(artwork_id)) AS h FROM artworks)
+SELECT artwork_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', (('0x' || h[17:17])::INTEGER % 4) + 1, 1) || h[18:20], h[21:32]) AS point_id FROM h"""
+)
 def point_ids(spark, d):
     import uuid
 
@@ -545,7 +548,7 @@ def snapshot_labels(spark, d):
 
 @register(
     """WITH g AS (SELECT declared_width AS w, declared_height AS h, received_at, delivery_id, candidate_id FROM candidates QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY received_at DESC NULLS LAST, delivery_id DESC) = 1)
-SELECT delivery_id, to_json({'candidate_id': candidate_id, 'height': h, 'width': w})::VARCHAR AS payload FROM g ORDER BY received_at DESC, delivery_id DESC LIMIT 100"""
+SELECT delivery_id, to_json({'candidate_id': candidate_id, 'height': h, 'width': w})::VARCHAR AS payload FROM g"""
 )
 def gallery_payload(spark, d):
     """Every candidate's latest row as the JSON that a page would embed; a page orders them where it is written."""

@@ -190,7 +190,7 @@ def zero_shot_scores(spark, d):
     return z.select("vec_id", "z.predicted", F.round("z.confidence", 9).alias("confidence"), F.round("z.utility", 9).alias("utility"))
 
 
-@register()
+@register("SELECT artwork_id, 8::INTEGER AS dims, NULL::VARCHAR AS error FROM artworks WHERE raw_path IS NOT NULL")
 def embed_with_cache(spark, d):
     """Half of the works are in the cache; the others' vectors are computed."""
     works = read_table(spark, d, "artworks").select("artwork_id", "raw_path")
@@ -369,7 +369,7 @@ def policy_projection(spark, d):
 
 
 @register(
-    _JUDGED + "SELECT result_id, round(least(abs(score - 0.8), abs(score - 0.5)), 9) AS distance, row_number() OVER (ORDER BY round(least(abs(score - 0.8), abs(score - 0.5)), 9), result_id)::INTEGER AS place FROM j WHERE score IS NOT NULL QUALIFY place <= 50"
+    _JUDGED + "SELECT result_id, round(least(abs(score - 0.8), abs(score - 0.5)), 9) AS distance, row_number() OVER (ORDER BY round(least(abs(score - 0.8), abs(score - 0.5)), 9), result_id)::INTEGER AS place FROM j WHERE score IS NOT NULL"
 )
 def review_priority(spark, d):
     """Every scored result, those nearest to a decision boundary first."""

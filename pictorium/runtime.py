@@ -12,14 +12,17 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from typing import TypeVar
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+Result = TypeVar("Result")
 
 
 def build_session(app: str = "pictorium", master: str | None = None, **conf: str) -> SparkSession:
@@ -148,3 +151,15 @@ def ship(spark: SparkSession) -> None:
             out.write(file, str(file.relative_to(package.parent)))
     context.addPyFile(archive)
     context._pictorium_shipped = True
+
+
+def retried(work: Callable[[], Result], attempts: int = 3, base: float = 0.0, cap: float = 60.0) -> Result:
+    """The result of ``work``, tried up to ``attempts`` times with growing pauses; the last failure is raised."""
+    for attempt in range(attempts):
+        try:
+            return work()
+        except Exception:
+            if attempt == attempts - 1:
+                raise
+            time.sleep(min(cap, base * 2**attempt))
+    raise ValueError("attempts must be positive")

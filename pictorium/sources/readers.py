@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from pictorium.operators.relational import ContractError, require_columns
+from pictorium.runtime import retried
 
 CORRUPT = "_corrupt_record"
 
@@ -85,18 +88,58 @@ def distinct_ids(log: DataFrame, key: str, where: str | None = None) -> DataFram
     return rows.select(key).distinct()
 
 
-def load_config(path: str, defaults: dict) -> dict:
-    """Settings from JSON or TOML over defaults; unknown names are an error."""
+def _document(path: str) -> object:
+    """What a JSON, TOML or YAML file holds; YAML needs its library."""
     with open(path, "rb") as file:
         if path.endswith(".toml"):
             import tomllib
 
-            given = tomllib.load(file)
-        else:
-            given = json.load(file)
+            return tomllib.load(file)
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as missing:
+                raise ContractError(f"{path} needs PyYAML") from missing
+            return yaml.safe_load(file)
+        return json.load(file)
+
+
+def load_config(path: str, defaults: dict, checks: dict[str, Callable[[object], bool]] | None = None) -> dict:
+    """Settings from JSON, TOML or YAML over defaults.
+
+    Unknown names, values of another type than the default's and values that a
+    check refuses are errors.
+    """
+    given = _document(path) or {}
+    if not isinstance(given, dict):
+        raise ContractError(f"{path} holds no settings")
     if unknown := sorted(set(given) - set(defaults)):
         raise ContractError(f"unknown settings: {', '.join(unknown)}")
-    return {**defaults, **given}
+    for name, value in given.items():
+        default = defaults[name]
+        fits = default is None or type(value) is type(default) or isinstance(default, float) and type(value) is int
+        if not fits:
+            raise ContractError(f"{name} must be a {type(default).__name__}")
+    settings = {**defaults, **given}
+    for name, check in (checks or {}).items():
+        if not check(settings[name]):
+            raise ContractError(f"{name} can't be {settings[name]!r}")
+    return settings
+
+
+def config_hash(settings: dict) -> str:
+    """A digest of settings, whatever their order."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A list of records in a JSON, TOML (under ``items``) or YAML file as a table; missing fields are NULL."""
+    held = _document(path)
+    rows = held.get("items", []) if isinstance(held, dict) else held or []
+    fields = StructType.fromDDL(schema)
+    if bad := sorted({k for r in rows for k in r} - set(fields.names)):
+        raise ContractError(f"unknown fields: {', '.join(bad)}")
+    return spark.createDataFrame([tuple(r.get(n) for n in fields.names) for r in rows], fields)
 
 
 def s3_settings(endpoint: str | None = None, region: str | None = None, path_style: bool = False) -> dict[str, str]:
@@ -112,9 +155,11 @@ def s3_settings(endpoint: str | None = None, region: str | None = None, path_sty
 class FeedPages(DataSource):
     """Pages of author feeds kept as JSON files ``<author>/<cursor>.json``: (author, page, item).
 
-    Follows each page's ``cursor`` up to ``pages`` pages and stops where none is
-    given.  One partition per author.  The same reader serves an HTTP client by
-    another ``load`` function.
+    Follows each page's ``cursor`` until none is given, or to the end of so many
+    ``pages`` if that option is set; with ``mark_cut`` a feed that this cuts off
+    ends with a row of page -1 that holds the cursor to go on from.  One
+    partition per author.  The same reader serves an HTTP client by another
+    ``load`` function; a load that fails is tried ``attempts`` times.
     """
 
     @classmethod
@@ -135,7 +180,9 @@ class AuthorPartition(InputPartition):
 
 class FeedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.pages = options["path"], int(options.get("pages", 10))
+        self.root, self.attempts = options["path"], int(options.get("attempts", 3))
+        self.pages = int(options["pages"]) if "pages" in options else None
+        self.mark_cut = str(options.get("mark_cut", "false")).lower() == "true"
 
     def partitions(self) -> list[AuthorPartition]:
         return [AuthorPartition(a) for a in sorted(os.listdir(self.root))]
@@ -149,10 +196,67 @@ class FeedReader(DataSourceReader):
 
     def read(self, partition: AuthorPartition):
         cursor: str | None = "first"
-        for page in range(self.pages):
-            if cursor is None:
-                break
-            got = self.load(partition.author, cursor)
+        page = 0
+        while cursor is not None and (self.pages is None or page < self.pages):
+            got = retried(lambda c=cursor: self.load(partition.author, c), self.attempts)
             for item in got.get("feed", []):
                 yield partition.author, page, json.dumps(item)
-            cursor = got.get("cursor")
+            cursor, page = got.get("cursor"), page + 1
+        if cursor is not None and self.mark_cut:
+            yield partition.author, -1, json.dumps({"cursor": cursor})
+
+
+class SqliteTable(DataSource):
+    """A table of a SQLite file, read only, in ranges of its row numbers: options ``path``, ``table`` and ``rows`` per range.
+
+    A file or table that isn't there gives no rows.  The schema must be given.
+    The file must lie where all executors can read it.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_table"
+
+    def reader(self, schema: StructType) -> "SqliteReader":
+        return SqliteReader(self.options, schema)
+
+
+class RowRange(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, options: dict, schema: StructType):
+        self.path, self.table, self.rows, self.columns = options["path"], options["table"], int(options.get("rows", 100_000)), schema.names
+
+    def _connect(self):
+        import sqlite3
+
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
+    def partitions(self) -> list[RowRange]:
+        import sqlite3
+
+        if not os.path.exists(self.path):
+            return [RowRange(0, -1)]
+        db = self._connect()
+        try:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+        except sqlite3.OperationalError:
+            low = high = None
+        finally:
+            db.close()
+        if low is None:
+            return [RowRange(0, -1)]
+        return [RowRange(k, min(high, k + self.rows - 1)) for k in range(low, high + 1, self.rows)]
+
+    def read(self, partition: RowRange):
+        if partition.high < partition.low:
+            return
+        db = self._connect()
+        try:
+            names = ", ".join(f'"{c}"' for c in self.columns)
+            yield from db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (partition.low, partition.high))
+        finally:
+            db.close()

@@ -6,12 +6,13 @@ Paths are Hadoop paths; a table becomes visible only when it is whole.
 from __future__ import annotations
 
 import hashlib
+import html
 import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pictorium.functions.text import spreadsheet_safe
+from pictorium.functions.text import html_safe_json, spreadsheet_safe
 from pictorium.operators.relational import ContractError
 
 
@@ -92,13 +93,59 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_json_report(df: DataFrame, path: str, most: int = 10_000) -> str:
-    """A small result as one JSON document with sorted keys."""
-    rows = df.limit(most + 1).toJSON().collect()
-    if len(rows) > most:
-        raise ContractError(f"a report has at most {most} rows")
-    body = json.dumps([json.loads(r) for r in rows], sort_keys=True, indent=2)
-    return _write_text(df.sparkSession, path, body)
+def write_json_report(df: DataFrame, path: str) -> str:
+    """A result as one JSON document with sorted keys; rows pass through the driver one partition at a time."""
+    fs, target = _fs(df.sparkSession, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(b"["))
+        for number, row in enumerate(df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
+            body = json.dumps(json.loads(row["j"]), sort_keys=True, indent=2)
+            out.write(bytearray(((",\n" if number else "\n") + body).encode()))
+        out.write(bytearray(b"\n]"))
+    finally:
+        out.close()
+    return path
+
+
+def write_json_lines(df: DataFrame, path: str) -> str:
+    """One JSON object to a line, NULL fields included, in as many files as there are tasks."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return path
+
+
+def write_roster(df: DataFrame, name: str, path: str, title: str) -> str:
+    """A short list of names, one to a line under a comment, as ``readers.read_list`` reads it."""
+    names = [r[0] for r in df.select(name).collect()]
+    return _write_text(df.sparkSession, path, "\n".join([f"# {title}", *names]) + "\n")
+
+
+_PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>
+<style>body{{font:14px sans-serif;margin:2em}}td,th{{padding:.2em .6em;text-align:left}}</style>
+<h1>{title}</h1><table id="rows"></table>
+<script type="application/json" id="payload">"""
+_SCRIPT = """</script>
+<script>
+const rows = JSON.parse(document.getElementById("payload").textContent), table = document.getElementById("rows");
+const names = rows.length ? Object.keys(rows[0]) : [], line = (cells, tag) => { const tr = table.insertRow(); for (const c of cells) { const e = document.createElement(tag); e.textContent = c ?? ""; tr.append(e); } };
+line(names, "th"); for (const r of rows) line(names.map(n => r[n]), "td");
+</script>
+"""
+
+
+def write_gallery(payload: DataFrame, column: str, path: str, title: str) -> str:
+    """A static page that holds the JSON texts of ``column`` and shows them as a table."""
+    fs, target = _fs(payload.sparkSession, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(_PAGE.format(title=html.escape(title)).encode()))
+        out.write(bytearray(b"["))
+        for number, row in enumerate(payload.select(html_safe_json(F.col(column)).alias("j")).toLocalIterator()):
+            out.write(bytearray(((",\n" if number else "") + row["j"]).encode()))
+        out.write(bytearray(("]" + _SCRIPT).encode()))
+    finally:
+        out.close()
+    return path
 
 
 def _write_text(spark: SparkSession, path: str, body: str) -> str:
@@ -198,3 +245,10 @@ def log_run(spark: SparkSession, path: str, run: str, event: str, details: dict
     row = [(run, event, json.dumps(details or {}, sort_keys=True))]
     stamped: Column = F.current_timestamp()
     spark.createDataFrame(row, "run string, event string, details string").withColumn("at", stamped).write.mode("append").parquet(path)
+
+
+def publish_bundle(store: ObjectStore, artifacts: dict[str, bytes], details: dict | None = None) -> dict:
+    """Store each artifact under its digest and write the bundle that names them; equal artifacts give an equal bundle."""
+    held = {name: {"path": store.put("artifacts", content), "sha256": hashlib.sha256(content).hexdigest(), "bytes": len(content)} for name, content in sorted(artifacts.items())}
+    body = json.dumps({"artifacts": held, "details": details or {}}, sort_keys=True).encode()
+    return {"path": store.put("bundles", body, ".json"), "artifacts": held}

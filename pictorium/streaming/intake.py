@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pictorium.operators.delivery import IdentifierIndex, exactly_once_sink
 from pictorium.operators.relational import ContractError
+from pictorium.sources.readers import config_hash, read_or_empty
+from pictorium.sources.writers import append_new
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json", files_per_batch: int = 32) -> DataFrame:
@@ -64,3 +67,37 @@ def error_budget(outcomes: DataFrame, ok: str, most: float, strict: bool = False
 def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts per window and kind, for streams and tables alike."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
+
+
+class CheckpointStore:
+    """Keys that are done, per settings: work under other settings starts anew."""
+
+    SCHEMA = "settings string, key string"
+
+    def __init__(self, spark: SparkSession, path: str, settings: dict):
+        self.spark, self.path, self.settings = spark, path, config_hash(settings)
+
+    def done(self) -> DataFrame:
+        return read_or_empty(self.spark, self.path, self.SCHEMA).where(F.col("settings") == self.settings).select("key").distinct()
+
+    def pending(self, work: DataFrame, key: str) -> DataFrame:
+        return work.join(self.done(), F.col(key).cast("string") == F.col("key"), "left_anti")
+
+    def mark(self, keys: DataFrame, key: str) -> int:
+        rows = keys.select(F.lit(self.settings).alias("settings"), F.col(key).cast("string").alias("key")).where("key is not null")
+        return append_new(rows, self.path, ["settings", "key"])
+
+
+def durable(results: DataFrame, persist: Callable[[DataFrame], object], error: str = "error", strict: bool = True) -> DataFrame:
+    """``results`` after ``persist`` has kept them.
+
+    If that fails, strict results all carry the failure as their error; otherwise
+    it is logged and the results stand.
+    """
+    try:
+        persist(results)
+    except Exception as failure:
+        logging.getLogger(__name__).error("results couldn't be kept: %s", failure)
+        if strict:
+            return results.withColumn(error, F.lit(f"{type(failure).__name__}: {failure}"))
+    return results
