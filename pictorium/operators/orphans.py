@@ -62,9 +62,10 @@ def parent_ranges(parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return written(ordered.mapInPandas(_ranges, "parent string, low string, keys array<string>"), "parent-ranges")
 
 
-def _range_number(lows: dict[str, np.ndarray]):
+def _range_number(held):
     @F.pandas_udf("int")
     def number(parent: pd.Series, key: pd.Series) -> pd.Series:
+        lows = held.value
         out = np.full(len(key), -1, dtype=np.int32)
         for name in parent.unique():
             here = (parent == name).to_numpy()
@@ -83,12 +84,15 @@ def _misses(refs: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
         at = np.searchsorted(keys, wanted, side="left")
         inside = np.flatnonzero(at < len(keys))
         held[inside] |= keys[at[inside]] == wanted[inside]
-    return refs.loc[~held, ["ref_field", "child_key", "key", "month"]]
+    return refs.loc[~held, ["ref_field", "child_key", "key", "month", "n"]]
 
 
-def orphan_references(parents: dict[str, tuple[DataFrame, str]], references: list[Reference]) -> DataFrame:
+def orphan_references(parents: dict[str, tuple[DataFrame, str]], references: list[Reference], counted: bool = False) -> DataFrame:
     """One row (ref_field, child_key, key, month) per referring row whose key no parent has.
 
+    ``counted`` gives one row (ref_field, key, month, n) per key and month
+    instead; equal references are then added up before anything is shuffled.
+
     Defined results: keys are compared without blanks around them and in lower
     case; an empty or NULL reference is no reference; a NULL time gives a NULL
     month; a NULL child key is reported as NULL; against an empty parent table
@@ -104,12 +108,13 @@ def orphan_references(parents: dict[str, tuple[DataFrame, str]], references: lis
             F.date_format(F.col(r.when), "yyyy-MM").alias("month"),
         ).where("key is not null")
         refs = part if refs is None else refs.unionByName(part)
+    refs = refs.groupBy("ref_field", "parent", "key", "month").agg(F.lit(None).cast("string").alias("child_key"), F.count("*").alias("n")) if counted else refs.withColumn("n", F.lit(1).cast("bigint"))
     ranges = parent_ranges(parents)
     # The list of ranges has one short row per KEYS_PER_RANGE parents.
     lows: dict[str, list[str]] = {}
     for row in ranges.select("parent", "low").sort("parent", "low").collect():
         lows.setdefault(row["parent"], []).append(row["low"])
-    number = _range_number({k: np.asarray(v, dtype=object) for k, v in lows.items()})
+    number = _range_number(ranges.sparkSession.sparkContext.broadcast({k: np.asarray(v, dtype=object) for k, v in lows.items()}))
     numbered = written(refs.withColumn("rng", number("parent", "key")), "references")
     groups = numbered.groupBy("parent", "rng").agg(F.ceil(F.count("*") / REFS_PER_GROUP).cast("int").alias("salts"))
     ranges = ranges.withColumn("rng", number("parent", F.col("low"))).join(groups, ["parent", "rng"])
@@ -121,14 +126,14 @@ def orphan_references(parents: dict[str, tuple[DataFrame, str]], references: lis
     else:
         numbered = numbered.withColumn("salt", F.lit(0))
     cols = ["parent", "rng", "salt"]
-    return numbered.groupBy(*cols).cogroup(ranges.groupBy(*cols)).applyInPandas(_misses, "ref_field string, child_key string, key string, month string")
+    found = numbered.groupBy(*cols).cogroup(ranges.groupBy(*cols)).applyInPandas(_misses, "ref_field string, child_key string, key string, month string, n bigint")
+    return found.drop("child_key") if counted else found.drop("n")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Rows and distinct missing keys per reference and month of the referring row."""
-    return orphans.groupBy("ref_field", "month").agg(
-        F.count("*").alias("orphan_rows"), F.countDistinct("key").alias("missing_keys")
-    )
+    """Rows and distinct missing keys per reference and month of the referring row, of references counted or not."""
+    rows = F.sum("n") if "n" in orphans.columns else F.count("*")
+    return orphans.groupBy("ref_field", "month").agg(rows.alias("orphan_rows"), F.countDistinct("key").alias("missing_keys"))
 
 
 __all__ = ["Reference", "orphan_references", "orphan_report", "parent_ranges"]

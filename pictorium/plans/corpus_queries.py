@@ -604,12 +604,13 @@ def hourly_counts(spark, d):
 def stream_once_only(spark, d):
     """The candidates table replayed as a stream; every version comes out once."""
     from pictorium.runtime import fresh_path
+    from pictorium.operators.delivery import IdentifierIndex
     from pictorium.streaming.intake import once_only
 
     out, checkpoint = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-checkpoint")
     schema = read_table(spark, d, "candidates").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 32).parquet(f"{d}/candidates.parque[t]")
-    once_only(spark, stream, out, checkpoint)
+    once_only(spark, stream, out, checkpoint, IdentifierIndex(spark))
     kept = spark.read.schema(schema).parquet(out)
     return kept.select(blank_to_null(F.col("candidate_id")).alias("candidate"), F.coalesce(blank_to_null(F.col("post_cid")), F.lit("")).alias("version"))
 

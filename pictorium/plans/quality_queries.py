@@ -17,7 +17,7 @@ def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_deliveries(read_table(spark, sf_dir, "candidates")).select(F.col("delivery").alias("delivery_id"))
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf_dir: str, counted: bool = False) -> DataFrame:
     artists, artworks, vectors = (read_table(spark, sf_dir, t) for t in ("artists", "artworks", "artwork_embeddings"))
     return orphan_references(
         {"artists": (artists, "artist_id"), "artworks": (artworks, "artwork_id")},
@@ -26,6 +26,7 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
             Reference("artworks.duplicate_of", artworks, "artwork_id", "duplicate_of", "artworks", "date_added"),
             Reference("artwork_embeddings.artwork_id", vectors, "artwork_id", "artwork_id", "artworks", "date_computed"),
         ],
+        counted,
     )
 
 
@@ -34,7 +35,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_report(_orphans(spark, sf_dir))
+    return orphan_report(_orphans(spark, sf_dir, counted=True))
 
 
 QUERIES = {"p4_found": p4_found, "p4_kept": p4_kept, "p6_found": p6_found, "p6_report": p6_report}

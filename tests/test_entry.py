@@ -6,7 +6,6 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = os.environ.get("PICTORIUM_TESTDATA", "/root/testdata/sf0.001")
-FEW = ["decision_summary", "duplicate_hashes", "exclusion_cascade", "ir_metrics_by_mode", "manifest_counts", "p4_found", "p6_found", "rrf_fusion", "sync_plan", "threshold_sweep"]
 
 
 def test_every_oracle_has_a_query():
@@ -14,7 +13,7 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", FEW)
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")

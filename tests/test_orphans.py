@@ -38,3 +38,11 @@ def test_report(spark):
     found = orphan_references(*tables(spark, [], [("1", "a", AT, None, 1), ("2", "a", AT, None, 1), ("3", "b", None, None, 1)]))
     rows = {r["month"]: (r["orphan_rows"], r["missing_keys"]) for r in orphan_report(found).collect()}
     assert rows == {"2026-03": (2, 1), None: (1, 1)}
+
+
+def test_counted_references_give_the_same_report(spark):
+    children = [(str(n), f"k{n % 5}" if n % 2 else "gone", AT if n % 3 else None, None, 1) for n in range(60)]
+    args = tables(spark, [("k1", None, 1), ("k2", None, 1)], children)
+    rows = [sorted(map(tuple, orphan_report(orphan_references(*args, counted=c)).collect()), key=str) for c in (False, True)]
+    assert rows[0] == rows[1] and sum(r[2] for r in rows[0]) == 48
+    assert "child_key" not in orphan_references(*args, counted=True).columns
