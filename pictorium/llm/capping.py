@@ -2,10 +2,11 @@
 
 Quality histograms per contributor are built with a partial aggregate and
 merged; they have at most ``BINS + 1`` rows per contributor, whatever the
-number of records.  From the top bin down they tell which bin a cap falls
-into.  Records above that cutoff bin are kept and records below it left out
-without any ranking; only those of the cutoff bin itself are ranked, after
-every task has already reduced its share to ``cap`` records per contributor.
+number of records, and their edges are quantiles of all scores.  From the top
+bin down they tell which bin a cap falls into.  Records above that cutoff bin
+are kept and records below it left out without any ranking; only those of the
+cutoff bin itself are ranked, after every task has already reduced its share to
+``cap`` records per contributor.
 """
 
 from __future__ import annotations
@@ -14,16 +15,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pictorium.runtime import written
 
-BINS = 256
+BINS = 64
 
 
-def _bin(score: Column, low: float, high: float) -> Column:
-    """0 for no score, else 1..BINS in order of the score."""
-    if not high > low:
-        return F.when(score.isNull() | F.isnan(score), 0).otherwise(1).cast("int")
-    scaled = F.least(F.floor((score - F.lit(low)) / F.lit(high - low) * BINS) + 1, F.lit(BINS))
-    placed = F.when(score >= high, BINS).when(score <= low, 1).otherwise(scaled)
-    return F.when(score.isNull() | F.isnan(score), 0).otherwise(placed).cast("int")
+def _edges(rows: DataFrame) -> list[float]:
+    """Scores that cut all usable ones into about BINS equal parts; an outlier moves none of them."""
+    finite = F.when(~F.isnan("_score") & (F.abs("_score") != F.lit(float("inf"))), F.col("_score"))
+    marks = rows.agg(F.percentile_approx(finite, [k / BINS for k in range(1, BINS)], 10_000)).first()[0]
+    return sorted(set(marks or []))
+
+
+def _bin(score: Column, edges: list[float]) -> Column:
+    """0 for no score, else 1 and the number of edges that the score reaches, found by halving."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low + 1)
+        middle = (low + high) // 2
+        return F.when(score < F.lit(edges[middle]), among(low, middle)).otherwise(among(middle + 1, high))
+
+    return F.when(score.isNull() | F.isnan(score), F.lit(0)).otherwise(among(0, len(edges))).cast("int")
 
 
 def quality_histogram(df: DataFrame, by: list[str]) -> DataFrame:
@@ -58,14 +69,13 @@ def left_out(df: DataFrame, by: list[str], *, score: str, record: str, cap: int
     keys = [f"_by{k}" for k in range(len(by))]
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
-    usable = F.when(~F.isnan("_score") & (F.abs("_score") != F.lit(float("inf"))), F.col("_score"))
-    low, high, total = rows.agg(F.min(usable), F.max(usable), F.count("*")).first()
-    limit = cap if cap is not None else int((max_share or 0) * total)
-    rows = rows.withColumn("bin", _bin(F.col("_score"), low if low is not None else 0.0, high if high is not None else 0.0))
+    rows = written(rows, "capped-rows")  # counted, binned and cut: what they are made of is worked out once
+    limit = cap if cap is not None else int((max_share or 0) * rows.count())
+    rows = rows.withColumn("bin", _bin(F.col("_score"), _edges(rows)))
     cuts = cutoffs(quality_histogram(rows, keys), keys, F.lit(limit))
-    placed = rows.join(cuts, keys)
-    below = placed.where(F.col("bin") < F.col("cut")).select("_record")
-    border = placed.where(F.col("bin") == F.col("cut"))
+    # Records above the cutoff bin stay and need no further look.
+    placed = written(rows.join(cuts, keys).where(F.col("bin") <= F.col("cut")).select(*keys, "_score", "_record", "need", (F.col("bin") < F.col("cut")).alias("_below")), "below-and-border")
+    below, border = placed.where("_below").select("_record"), placed.where("not _below")
     best = Window.partitionBy(*keys).orderBy(F.col("_score").desc_nulls_last(), F.col("_record"))
     # The literal bound lets every task drop its own surplus before the shuffle.
     kept = border.withColumn("_score", F.when(~F.isnan("_score"), F.col("_score"))).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= limit).where(F.col("_rank") <= F.col("need"))
