@@ -134,8 +134,8 @@ class Items:
         items.places = list(at.values())
         return items
 
-    def passages(self, number: int, tokens: list[str], anchors: list[tuple[int, int]]) -> set[int]:
-        """Word positions of the item that the text reproduces in passages."""
+    def passages(self, number: int, tokens: list[str], anchors: list[tuple[int, int]], least: int = 1) -> set[int]:
+        """Word positions of the item that the text reproduces in passages; none if there can't be ``least``."""
         item, covered = self.tokens[number], set()
         runs: list[list[tuple[int, int]]] = []
         for i, j in sorted(anchors, key=lambda a: (a[0] - a[1], a[0])):
@@ -149,7 +149,12 @@ class Items:
             high = max(i - j for i, j in run)
             j0, j1 = max(0, min(j for _, j in run) - 12), min(len(item), max(j for _, j in run) + WINDOW + 12)
             spans.append((max(0, j0 + low - 4), min(len(tokens), j1 + high + 4), j0, j1))
-        for i0, i1, j0, j1 in dict.fromkeys(spans):
+        spans = list(dict.fromkeys(spans))
+        # Only words of the item that occur in the span's part of the text can be covered.
+        near = [set(tokens[i0:i1]) for i0, i1, _, _ in spans]
+        if len({j for (_, _, j0, j1), words_ in zip(spans, near) for j in range(j0, j1) if item[j] in words_}) < least:
+            return covered
+        for i0, i1, j0, j1 in spans:
             blocks = SequenceMatcher(None, tokens[i0:i1], item[j0:j1], autojunk=False).get_matching_blocks()
             pairs = [(i0 + b.a + k, j0 + b.b + k) for b in blocks for k in range(b.size)]
             covered |= self._dense(item, pairs)
@@ -227,7 +232,7 @@ class Items:
             # Only words of the item that occur in the text can be covered.
             if len(tokens) < least or not self._enough(number, tokens, found, least):
                 continue
-            covered = len(self.passages(number, tokens, found))
+            covered = len(self.passages(number, tokens, found, least))
             if covered >= least:
                 yield self.ids[number], covered, length
 
@@ -240,6 +245,7 @@ class Items:
         item = self.tokens[number]
         return sum(rare.get(item[j], 0.0) for j in near if j < len(item)) >= 4.0
 
+
 def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """(doc_id, item_id, words_found, item_words): documents that carry an item, wholly or in part.
 

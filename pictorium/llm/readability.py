@@ -17,6 +17,7 @@ import html
 import os
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -220,7 +221,9 @@ class BandModel:
         self.mean, self.scale, self.weights = mean, scale, weights
 
     def scores(self, table: np.ndarray) -> np.ndarray:
-        x = np.column_stack([(features(table) - self.mean) / self.scale, np.ones(len(table))])
+        return self._shares(np.column_stack([(features(table) - self.mean) / self.scale, np.ones(len(table))]))
+
+    def _shares(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weights
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
@@ -239,7 +242,7 @@ class BandModel:
         x = np.column_stack([(f - model.mean) / model.scale, np.ones(len(f))])
         goal = np.eye(len(BANDS))[y] * 0.96 + 0.04 / len(BANDS)  # some ratings are wrong
         for _ in range(rounds):
-            p = model.scores(table)
+            p = model._shares(x)
             model.weights -= rate * (x.T @ (p - goal) / len(x) + decay * model.weights)
         return model
 
@@ -249,7 +252,8 @@ def language(text: str) -> str | None:
     tokens = re.findall(r"[^\W\d_]+", text.lower())
     if not tokens:
         return None
-    hits = {lang: sum(t in stops for t in tokens) for lang, stops in _STOPS.items()}
+    count = Counter(tokens)
+    hits = {lang: sum(count[w] for w in stops & count.keys()) for lang, stops in _STOPS.items()}
     best = max(hits, key=lambda k: hits[k])
     return best if hits[best] >= max(1, 0.08 * len(tokens)) else None
 
